@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvina.llm import encoding, packing, percentiles, splitting
+from corvina.llm import encoding, neardup, packing, percentiles, splitting
 
-MODULES = (splitting, percentiles, encoding, packing)
+MODULES = (splitting, neardup, percentiles, encoding, packing)
 
 
 def queries() -> dict:
