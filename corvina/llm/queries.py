@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvina.llm import encoding, neardup, packing, percentiles, reading, splitting
+from corvina.llm import encoding, neardup, ocr, packing, percentiles, reading, splitting
 
-MODULES = (splitting, neardup, percentiles, encoding, packing, reading)
+MODULES = (splitting, ocr, neardup, percentiles, encoding, packing, reading)
 
 
 def queries() -> dict:
