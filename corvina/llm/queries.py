@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvina.llm import encoding, neardup, ocr, packing, pairs, percentiles, reading, splitting
+from corvina.llm import encoding, neardup, ocr, packing, pairs, pii, percentiles, reading, splitting
 
-MODULES = (splitting, ocr, pairs, neardup, percentiles, encoding, packing, reading)
+MODULES = (splitting, ocr, pairs, pii, neardup, percentiles, encoding, packing, reading)
 
 
 def queries() -> dict:
