@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from corvina.plans import reports, search
+
+MODULES: tuple = (search, reports)
 
 
 def queries() -> dict:
