@@ -47,7 +47,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, BLANKS, " "))
+    return F.trim(F.regexp_replace(text, BLANKS, " "), F.lit(" \u00a0"))
 
 
 def quote(text: Column, most: int = 320) -> Column:

@@ -30,3 +30,134 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         before = now
     return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Every edge (edge_id, src, type, dst) in both directions."""
+    return edges.unionByName(edges.select("edge_id", F.col("dst").alias("src"), "type", F.col("src").alias("dst")))
+
+
+def trails(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(start, edge_id): edges on paths of up to ``depth`` steps that use no edge twice.
+
+    starts: (start). One join a step; a path carries the edges it has used.
+    """
+    if not 1 <= depth <= 3:
+        raise ValueError("the depth must be 1, 2 or 3")
+    both = undirected(edges).select("edge_id", F.col("src").alias("here"), F.col("dst").alias("next"))
+    paths = starts.select("start", F.col("start").alias("here"), F.array().cast("array<string>").alias("used"))
+    found = None
+    for _ in range(depth):
+        paths = paths.join(both, "here").where(~F.array_contains("used", F.col("edge_id"))).select("start", F.col("next").alias("here"), F.concat("used", F.array("edge_id")).alias("used"))
+        step = paths.select("start", F.element_at("used", -1).alias("edge_id"))
+        found = step if found is None else found.unionAll(step)
+    return found.distinct()
+
+
+def neighbour_facts(mentions: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(chunk_id, source, rel_type, target): relations of the entities a chunk mentions, as matched."""
+    names = entities.select("id", "name")
+    hit = mentions.select("chunk_id", F.col("entity_id").alias("src")).join(undirected(edges), "src")
+    hit = hit.join(names.select(F.col("id").alias("src"), F.col("name").alias("source")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst")
+    return hit.select("chunk_id", "source", F.col("type").alias("rel_type"), "target")
+
+
+def first_by_key(rows: DataFrame, keys: list, order: list) -> DataFrame:
+    """The first row of each key (expressions) by ``order`` (columns)."""
+    named = [(k if not isinstance(k, str) else F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
+    rest = [c for c in rows.columns if c not in order]
+    top = rows.groupBy(*named).agg(F.min(F.struct(*order, *rest)).alias("_top"))
+    return top.select(*[F.col(f"_top.{c}").alias(c) for c in rows.columns])
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = 1000) -> DataFrame:
+    """(id_a, id_b, score), id_a < id_b: cosine above ``threshold`` within a type.
+
+    vectors: (id, type, embedding). A type is cut into blocks of about ``block`` vectors that
+    meet in pairs, so no task holds a whole type; only pairs above the threshold leave a task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    sizes = vectors.groupBy("type").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    placed = vectors.join(sizes, "type").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = every.select("id", "type", "embedding", "b", F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x, y = f["x"].iloc[0], f["y"].iloc[0]
+        left = f[f["b"] == x]
+        right = f[f["b"] == y]
+        unit = lambda g: (lambda v: v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1))(np.array(g["embedding"].tolist(), dtype=float))
+        s = unit(left) @ unit(right).T
+        i, j = np.nonzero(s > threshold)
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        keep = a < b if x == y else a != b
+        return pd.DataFrame({"id_a": np.minimum(a, b)[keep], "id_b": np.maximum(a, b)[keep], "score": s[i, j][keep]})
+
+    return keyed.groupBy("type", "x", "y").applyInPandas(run, "id_a bigint, id_b bigint, score double")
+
+
+def canonical_of(groups: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, canonical_id): in each component the entity with the shortest name, then the least id.
+
+    groups: (id, component); names: (id, name).
+    """
+    g = groups.join(names, "id")
+    best = g.groupBy("component").agg(F.min(F.struct(F.length("name").alias("l"), F.col("id").alias("canonical_id"))).alias("best"))
+    return g.join(best, "component").select("id", F.col("best.canonical_id").alias("canonical_id"))
+
+
+def merged_edges(edges: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Edges (src, type, dst) after entities were merged; loops that a merge makes are dropped."""
+    m = canonical.select(F.col("id").alias("src"), F.col("canonical_id").alias("new_src"))
+    n = canonical.select(F.col("id").alias("dst"), F.col("canonical_id").alias("new_dst"))
+    out = edges.join(m, "src", "left").join(n, "dst", "left")
+    out = out.select(F.coalesce("new_src", "src").alias("src"), "type", F.coalesce("new_dst", "dst").alias("dst"))
+    return out.where("src <> dst").distinct()
+
+
+def communities(edges: DataFrame, rounds: int = 8, levels: int = 3, resolution: float = 1.0) -> DataFrame:
+    """(id, leaf, root): communities by moving nodes to where modularity gains most, then contracting.
+
+    Each round is joins and aggregates over the edge table. Nodes of two halves (by hash) move in
+    turns, so that neighbours do not swap places. ``leaf`` is the first level, ``root`` the last.
+    Parallel edges add up; isolated nodes are not in the result. Labels are the least node id.
+    """
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("w", F.lit(1.0))
+    e = checkpointed(e)
+    total = e.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    nodes = e.select(F.col("a").alias("id")).unionAll(e.select(F.col("b").alias("id"))).distinct()
+    assigned = checkpointed(nodes.select("id", F.col("id").alias("leaf"), F.col("id").alias("root")))
+    for level in range(levels):
+        both = e.where("a <> b").select("a", "b", "w").unionAll(e.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+        loops = e.where("a = b").select("a", (F.col("w") * 2).alias("w"))
+        degree = both.select("a", "w").unionAll(loops).groupBy("a").agg(F.sum("w").alias("k"))
+        label = checkpointed(degree.select(F.col("a").alias("id"), "k", F.col("a").alias("c")))
+        moved_before = None
+        for turn in range(rounds):
+            size = label.groupBy("c").agg(F.sum("k").alias("tot"))
+            near = both.join(label.select(F.col("id").alias("b"), F.col("c").alias("d")), "b").groupBy("a", "d").agg(F.sum("w").alias("links"))
+            own = label.select(F.col("id").alias("a"), "k", "c")
+            # Staying is an option even where no neighbour shares the community.
+            options = near.unionAll(own.select("a", F.col("c").alias("d"), F.lit(0.0).alias("links"))).groupBy("a", "d").agg(F.sum("links").alias("links"))
+            scored = options.join(own, "a").join(size.withColumnRenamed("c", "d"), "d")
+            rest = F.col("tot") - F.when(F.col("d") == F.col("c"), F.col("k")).otherwise(F.lit(0.0))
+            scored = scored.withColumn("gain", F.round(F.col("links") - resolution * F.col("k") * rest / (2 * total), 9))
+            best = scored.groupBy("a").agg(F.max(F.struct("gain", (F.col("d") == F.col("c")).alias("stay"), F.xxhash64("d").alias("h"), "d")).alias("best"), F.first("k").alias("k"), F.first("c").alias("c"))
+            may_move = F.pmod(F.xxhash64("a", F.lit(level)), F.lit(2)) == turn % 2
+            label = checkpointed(best.select(F.col("a").alias("id"), "k", F.when(may_move, F.col("best.d")).otherwise(F.col("c")).alias("c")))
+            moved = best.where(may_move & (F.col("best.d") != F.col("c"))).count()
+            if moved == 0 and moved_before == 0:
+                break
+            moved_before = moved
+        names = label.groupBy("c").agg(F.min("id").alias("name"))
+        renamed = checkpointed(label.join(names, "c").select("id", "name"))
+        step = assigned.join(renamed.withColumnRenamed("id", "root"), "root")
+        assigned = checkpointed(step.select("id", (F.col("name") if level == 0 else F.col("leaf")).alias("leaf"), F.col("name").alias("root")))
+        groups = renamed.select("name").distinct().count()
+        if groups == renamed.count():
+            break
+        ra, rb = renamed.select(F.col("id").alias("a"), F.col("name").alias("x")), renamed.select(F.col("id").alias("b"), F.col("name").alias("y"))
+        e = checkpointed(e.join(ra, "a").join(rb, "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
+    return assigned

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corvina.plans import reports, search
+from corvina.plans import graphs, reports, search, texts
+from corvina.streaming import incremental
 
-MODULES: tuple = (search, reports)
+MODULES: tuple = (search, texts, reports, graphs, incremental)
 
 
 def queries() -> dict:

@@ -182,7 +182,7 @@ def token_set_sql(text: str) -> str:
 
 
 def quote_sql(t: str) -> str:
-    c = f"trim(regexp_replace({t}, '{_BL}', ' ', 'g'))"
+    c = f"trim(regexp_replace({t}, '{_BL}', ' ', 'g'), ' ' || chr(160))"
     head = f"substr({c}, 1, 320)"
     return f"CASE WHEN length({c}) <= 320 THEN {c} ELSE regexp_replace(CASE WHEN instr({head}, ' ') > 0 THEN regexp_replace({head}, ' [^ ]*$', '') ELSE {head} END, '[.,;:]+$', '') || '...' END"
 
