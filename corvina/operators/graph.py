@@ -88,6 +88,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 1000) -> Da
         x, y = f["x"].iloc[0], f["y"].iloc[0]
         left = f[f["b"] == x]
         right = f[f["b"] == y]
+        if left.empty or right.empty:
+            return pd.DataFrame({"id_a": [], "id_b": [], "score": []})
         unit = lambda g: (lambda v: v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1))(np.array(g["embedding"].tolist(), dtype=float))
         s = unit(left) @ unit(right).T
         i, j = np.nonzero(s > threshold)

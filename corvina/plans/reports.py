@@ -57,10 +57,10 @@ def kb_info(spark: SparkSession, d: str) -> DataFrame:
 
 
 def service_health(spark: SparkSession, d: str) -> DataFrame:
-    """Last call, slow share and staleness of each tool, against the newest row of the log."""
+    """Last call, last measured latency, slow calls and staleness of each tool, against the newest row of the log."""
     logs = table(spark, d, "query_logs").where("tool_used is not null").dropDuplicates(["log_id"])
     newest = logs.agg(F.max("created_at").alias("now"))
-    per = logs.groupBy("tool_used").agg(F.max("created_at").alias("last_check_at"), F.max_by("latency_ms", F.struct("created_at", "log_id")).alias("last_latency_ms"), F.count_if(F.col("latency_ms") > 1000).alias("slow"))
+    per = logs.groupBy("tool_used").agg(F.max("created_at").alias("last_check_at"), F.max_by("latency_ms", F.when(F.col("latency_ms").isNotNull(), F.struct("created_at", "log_id"))).alias("last_latency_ms"), F.count_if(F.col("latency_ms") > 1000).alias("slow"))
     age = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last_check_at").cast("timestamp"))) / F.lit(1_000_000)
     return per.crossJoin(F.broadcast(newest)).select("tool_used", "last_check_at", F.coalesce(F.col("last_latency_ms") > 1000, F.lit(False)).alias("is_degraded"), "slow", (age > 60).alias("is_stale"))
 

@@ -59,7 +59,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
     files = files.withColumn("parser", parser_of(F.lit(""), F.col("path"))).withColumn("size_error", F.when(F.col("length") == 0, "empty file").when(F.col("length") > MOST_BYTES, "too large"))
-    decoded = F.decode("content", F.lit("UTF-8"))
+    # Bytes that are no UTF-8 are left out.
+    decoded = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     simple = files.where("parser <> 'docx'").select(
         "path",
         "parser",
