@@ -394,7 +394,8 @@ def expanded_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     side = lambda s: members.select(F.col("hi").alias(f"hi_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("id").alias(f"id_{s}"))
     across = links.join(side("a"), ["hi_a", "lo_a"]).join(side("b"), ["hi_b", "lo_b"]).select("id_a", "id_b")
     copies = side("a").join(side("b"), (F.col("hi_a") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b")
-    return across.unionByName(copies).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    pairs = across.unionByName(copies).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return pairs.where("id_a <> id_b").distinct()  # an id may stand in several rows
 
 
 def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
