@@ -206,3 +206,35 @@ def read_only_pattern(query: Column) -> Column:
     """Whether a graph query starts with MATCH and holds no writing keyword outside of strings."""
     bare = F.regexp_replace(query, r"'[^']*'|\"[^\"]*\"", "")
     return F.coalesce(F.upper(F.trim(bare)).startswith("MATCH") & ~F.upper(bare).rlike(r"\b(CREATE|DELETE|DETACH|SET|REMOVE|MERGE|DROP)\b"), F.lit(False))
+
+
+#: Name spaces of name-based identifiers (fixed values of RFC 9562).
+NAMESPACE_DNS, NAMESPACE_URL = "6ba7b8109dad11d180b400c04fd430c8", "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
+    """The name-based UUID (version 5) of a string, from SHA-1 inside the JVM."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def indexing_progress(done: Column, total: Column) -> Column:
+    """80 to 98 per cent while chunks are indexed."""
+    return (F.lit(80) + F.floor(done / total * 18)).cast("int")
+
+
+def setting_list(value: Column) -> Column:
+    """The parts of a comma-separated setting, without blank ones."""
+    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+
+
+def row_lines(row: Column, names: list[str]) -> Column:
+    """One result row as ``- name: value, name: value``."""
+    return F.concat(F.lit("- "), F.concat_ws(", ", *[F.concat(F.lit(f"{n}: "), row[n].cast("string")) for n in names]))
+
+
+def merged_context(*parts: Column) -> Column:
+    """Context texts one after the other; empty ones are left out."""
+    return F.concat_ws("\n", *[F.nullif(F.trim(p), F.lit("")) for p in parts])

@@ -69,6 +69,19 @@ def local_graph_facts(spark: SparkSession, d: str) -> DataFrame:
     return unique.orderBy(*order).limit(20).select(F.concat("source", F.lit(" --["), "rel_type", F.lit("]--> "), "target").alias("fact"))
 
 
+def expansion_text(spark: SparkSession, d: str) -> DataFrame:
+    """What the graph knows about the three most mentioned entities: at most five relations each."""
+    raw = raw_mentions(spark, d)
+    ents = entities(raw)
+    top = ents.orderBy(F.desc("mentions"), "id").limit(3).select("id", F.col("name").alias("entity"))
+    rel = G.undirected(relations(raw)).join(top.withColumnRenamed("id", "src"), "src").join(ents.select(F.col("id").alias("dst"), F.col("name").alias("other")), "dst")
+    line = F.concat(F.lit("- "), "entity", F.lit(" --["), "type", F.lit("]--> "), "other")
+    lines = rel.select("src", "entity", "type", "other", "dst", line.alias("line")).distinct()
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("type", "other", "dst"))
+    five = lines.withColumn("n", nth).where("n <= 5")
+    return five.groupBy("src", "entity").agg(F.concat(F.lit("Informazioni correlate a '"), F.first("entity"), F.lit("':\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")).alias("text")).select("entity", "text")
+
+
 def orphan_entities(spark: SparkSession, d: str) -> DataFrame:
     """Entities that no chunk mentions once the chunks of failed documents are gone."""
     raw = raw_mentions(spark, d)
@@ -183,7 +196,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("community_id"), F.col("n_name").alias("name"))
     out = nation.select(F.concat(F.lit("nation:"), F.col("k").cast("string")).alias("entity_id"), "name", "community_id")
     for t, key, ref, name in (("supplier", "s_suppkey", "s_nationkey", "s_name"), ("customer", "c_custkey", "c_nationkey", "c_name")):
-        one = table(spark, d, t).select(F.concat(F.lit(f"{t}:"), F.col(key).cast("string")).alias("entity_id"), F.col(name).alias("name"), F.col(ref).alias("k")).join(F.broadcast(nation.select("k", "community_id")), "k")
+        one = table(spark, d, t).select(F.concat(F.lit(f"{t}:"), F.col(key).cast("string")).alias("entity_id"), F.col(name).alias("name"), F.col(ref).alias("k")).join(nation.select("k", "community_id"), "k")
         out = out.unionByName(one.select("entity_id", "name", "community_id"))
     return out
 
@@ -239,7 +252,7 @@ def chunk_page_map(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (canonical_entities, entity_relations, relation_types, local_graph_facts, orphan_entities, graph_stats_user, graph_stats_global, explore_entity_d1, explore_entity_d2, entity_similarity_pairs, entity_canonical_map, entity_resolution_stats, community_assign, community_summaries, community_lookup, community_context, chunk_spans, paragraph_offsets, chunk_page_map)
+    for f in (canonical_entities, entity_relations, relation_types, local_graph_facts, expansion_text, orphan_entities, graph_stats_user, graph_stats_global, explore_entity_d1, explore_entity_d2, entity_similarity_pairs, entity_canonical_map, entity_resolution_stats, community_assign, community_summaries, community_lookup, community_context, chunk_spans, paragraph_offsets, chunk_page_map)
 }
 
 _CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_index ORDER BY created_at DESC NULLS LAST, chunk_id DESC) AS rn FROM chunks) WHERE rn = 1)"
@@ -262,6 +275,7 @@ ORACLES = {
     "entity_relations": f"WITH {_RAW} SELECT src, type, dst FROM rel2",
     "relation_types": "SELECT raw, CASE WHEN regexp_matches(t, '^[A-Z]') THEN t ELSE 'RELATED_TO' END AS relation_type FROM (SELECT raw, regexp_replace(regexp_replace(regexp_replace(upper(trim(raw)), '[^A-Z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS t FROM (SELECT category AS raw FROM documents UNION SELECT description FROM documents) WHERE raw IS NOT NULL)",
     "local_graph_facts": f"WITH {_RAW}, f AS (SELECT chunk_id, x.name AS source, und.type AS rel_type, y.name AS target FROM men JOIN und ON und.src = entity_id JOIN ent x ON x.id = und.src JOIN ent y ON y.id = und.dst WHERE chunk_id % 100 = 0 ORDER BY 1, 2, 3, 4 LIMIT 200), u AS (SELECT *, row_number() OVER (PARTITION BY lower(source), lower(rel_type), lower(target) ORDER BY chunk_id, source, rel_type, target) AS rn FROM f) SELECT source || ' --[' || rel_type || ']--> ' || target AS fact FROM u WHERE rn = 1 ORDER BY chunk_id, source, rel_type, target LIMIT 20",
+    "expansion_text": f"WITH {_RAW}, top3 AS (SELECT id, name AS entity FROM ent ORDER BY mentions DESC, id LIMIT 3), l AS (SELECT DISTINCT und.src, entity, und.type, ent.name AS other, und.dst FROM und JOIN top3 ON top3.id = und.src JOIN ent ON ent.id = und.dst), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY type, other, dst) AS n FROM l) SELECT any_value(entity) AS entity, 'Informazioni correlate a ''' || any_value(entity) || ''':' || chr(10) || string_agg('- ' || entity || ' --[' || type || ']--> ' || other, chr(10) ORDER BY n) AS text FROM r WHERE n <= 5 GROUP BY src",
     "orphan_entities": f"WITH {_RAW}, gone AS (SELECT chunk_id FROM chunks JOIN documents ON doc_id = document_id WHERE status = 'error' OR doc_id % 2 = 0) SELECT id, name FROM ent WHERE id NOT IN (SELECT entity_id FROM men WHERE chunk_id NOT IN (FROM gone))",
     "graph_stats_user": f"WITH {_RAW}, mine AS (SELECT DISTINCT created_by, entity_id FROM men JOIN chunks USING (chunk_id) JOIN documents ON doc_id = document_id), deg AS (SELECT src, count(*) AS n FROM rel2 GROUP BY 1) SELECT created_by, count(*) AS entities, CAST(coalesce(sum(n), 0) AS BIGINT) AS relations FROM mine LEFT JOIN deg ON src = entity_id GROUP BY 1",
     "graph_stats_global": f"WITH {_RAW} SELECT 'Document' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'Chunk', count(*) FROM cur UNION ALL SELECT 'Entity', count(*) FROM ent UNION ALL SELECT 'BELONGS_TO', count(document_id) FROM cur UNION ALL SELECT 'MENTIONS', count(*) FROM men UNION ALL SELECT 'RELATED', count(*) FROM rel2",

@@ -58,9 +58,12 @@ def bm25_snapshot_df(spark: SparkSession, d: str) -> DataFrame:
     """Statistics as they were before each document came in: df per term, chunks and tokens."""
     chunks = _chunks(spark, d)
     terms = written(R.term_counts(chunks, "chunk_id", F.col("text")).join(chunks.select(F.col("chunk_id").alias("id"), "document_id"), "id"))
-    before = Window.partitionBy("term").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
-    per_term = terms.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    df = per_term.withColumn("df_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # Running sums in two steps, over blocks of documents and within them: a term of every document is no hot group.
+    per_term = terms.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("document_id") / 4096))
+    blocks = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("term", "block").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = per_term.groupBy("term", "block").agg(F.sum("n").alias("m")).withColumn("earlier", F.coalesce(F.sum("m").over(blocks), F.lit(0))).drop("m")
+    df = per_term.join(earlier, ["term", "block"]).withColumn("df_before", F.col("earlier") + F.coalesce(F.sum("n").over(within), F.lit(0)))
     return df.groupBy("document_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("df_before").alias("df_before"), F.count_if(F.col("df_before") == 0).alias("new_terms"))
 
 

@@ -103,7 +103,27 @@ def graph_query_guard(spark: SparkSession, d: str) -> DataFrame:
     return logs.select((F.col("log_id") % 3).alias("kind"), T.read_only_pattern(q).alias("allowed")).groupBy("kind", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (quotes, references, section_titles, token_counts, token_sets, safe_filenames, text_hashes, embedding_inputs, query_latency, upload_validation, format_dispatch, html_paragraphs, nation_tables, upsert_batches, point_sizes, graph_query_guard)}
+def chunk_uuids(spark: SparkSession, d: str) -> DataFrame:
+    """Stable ids of chunks from document, index and text, the same at every ingestion."""
+    name = F.concat_ws(":", F.lit("corvina"), F.lit("chunk"), F.col("document_id").cast("string"), F.col("chunk_index").cast("string"), F.sha2("text", 256))
+    return table(spark, d, "chunks").where("text is not null").select("chunk_id", T.uuid5(name).alias("uuid"))
+
+
+def index_progress(spark: SparkSession, d: str) -> DataFrame:
+    """The progress that is shown while the chunks of each document are indexed, at most twenty steps."""
+    total = table(spark, d, "chunks").groupBy("document_id").agg(F.countDistinct("chunk_index").alias("total"))
+    steps = total.select("document_id", "total", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("total"))).alias("done"))
+    shown = (F.col("done") % F.greatest(F.lit(1), F.floor(F.col("total") / 20)) == 0) | (F.col("done") == F.col("total"))
+    return steps.where(shown).select("document_id", "done", T.indexing_progress(F.col("done"), F.col("total")).alias("progress"))
+
+
+def usage_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty owners with their documents, as lines of text."""
+    docs = table(spark, d, "documents").groupBy("created_by").agg(F.count(F.lit(1)).alias("documents")).orderBy(F.desc("documents"), "created_by").limit(20)
+    return docs.select(T.row_lines(F.struct("created_by", "documents"), ["created_by", "documents"]).alias("line"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_uuids, index_progress, usage_lines, quotes, references, section_titles, token_counts, token_sets, safe_filenames, text_hashes, embedding_inputs, query_latency, upload_validation, format_dispatch, html_paragraphs, nation_tables, upsert_batches, point_sizes, graph_query_guard)}
 
 _BL = r"[ \t\n\r\f\v]+"
 _words = f"len(list_filter(regexp_split_to_array(text, '{_BL}'), lambda t: t <> ''))"
@@ -123,7 +143,11 @@ def _html_sql(h: str) -> str:
 
 
 _ONE = "(SELECT DISTINCT ON (log_id) * FROM query_logs)"
+_H = "sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws(':', 'corvina', 'chunk', document_id, chunk_index, sha256(text))))"
 ORACLES = {
+    "chunk_uuids": f"SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT chunk_id, {_H} AS h FROM chunks WHERE text IS NOT NULL)",
+    "index_progress": "SELECT document_id, done, CAST(80 + floor(done / total * 18) AS INTEGER) AS progress FROM (SELECT document_id, total, unnest(range(1, total + 1)) AS done FROM (SELECT document_id, count(DISTINCT chunk_index) AS total FROM chunks GROUP BY 1)) WHERE done % greatest(1, total // 20) = 0 OR done = total",
+    "usage_lines": "SELECT '- created_by: ' || created_by || ', documents: ' || n AS line FROM (SELECT created_by, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, created_by LIMIT 20)",
     "quotes": f"SELECT chunk_id, {quote_sql('text')} AS quote FROM chunks WHERE text IS NOT NULL",
     "references": f"SELECT chunk_id, {REFERENCE_SQL} AS reference FROM chunks LEFT JOIN (SELECT doc_id, filename FROM documents) ON doc_id = document_id",
     "section_titles": "SELECT chunk_id, CASE WHEN length(l) <= 120 AND ((upper(l) = l AND lower(l) <> l) OR NOT regexp_matches(l, '[.:;,]$')) THEN l END AS title FROM (SELECT chunk_id, list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda s: trim(regexp_replace(s, '^[ \\t\\f\\v]+|[ \\t\\f\\v]+$', '', 'g'))), lambda s: s <> '')[1] AS l FROM chunks WHERE text IS NOT NULL)",
