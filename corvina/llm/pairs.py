@@ -17,6 +17,7 @@ judged once. Without rows to learn from, only ``empty`` is found.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -530,19 +531,25 @@ def predict(model: Model, queries: list[str | None], answers: list[str | None])
 # --- Spark ----------------------------------------------------------------------------------
 
 
+def _drawn(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows by the order of their key's hash; few more than that are sorted."""
+    n = rows.count()
+    share = min(1.0, 3 * most / max(n, 1))
+    near = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
+    return near.orderBy(F.xxhash64(key), key).limit(most)
+
+
 def train(logs: DataFrame, documents: DataFrame) -> Model:
     """Fit on at most MOST_ROWS log rows and MOST_DOCS documents, drawn by hash of their ids."""
-    rows = logs.where("length(trim(answer)) > 0 and query is not null").select("log_id", "query", "answer").distinct().orderBy(F.xxhash64("log_id")).limit(MOST_ROWS).collect()
+    usable = logs.where("length(trim(answer)) > 0 and query is not null").select("log_id", "query", "answer")
+    rows = _drawn(usable, "log_id", MOST_ROWS).collect()
     lang = F.lower(F.substring("lang", 1, 2))
     docs = documents.where(lang.isin(*LANGUAGES) & (F.length("text") > 100)).select("doc_id", "text", lang.alias("lang"))
     # As many documents of each language as there are, up to an equal share.
     share = MOST_DOCS // len(LANGUAGES)
-    sample = None
-    for k in LANGUAGES:
-        part = docs.where(F.col("lang") == k).orderBy(F.xxhash64("doc_id")).limit(share)
-        sample = part if sample is None else sample.unionAll(part)
-    docs_rows = sample.collect()
-    return fit([(r["query"], r["answer"]) for r in rows if not is_empty(r["answer"])], [r["text"] for r in docs_rows], [r["lang"] for r in docs_rows])
+    found = [r for k in LANGUAGES for r in _drawn(docs.where(F.col("lang") == k), "doc_id", share).collect()]
+    pairs = {r["log_id"]: (r["query"], r["answer"]) for r in rows if not is_empty(r["answer"])}
+    return fit(list(pairs.values()), [r["text"] for r in found], [r["lang"] for r in found])
 
 
 def pair_defects(logs: DataFrame, model: Model) -> DataFrame:
