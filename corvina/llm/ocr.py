@@ -532,11 +532,14 @@ def vocabulary(chunks: DataFrame, pages: DataFrame, least: int = 3) -> DataFrame
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def corrections(unknown: DataFrame, vocab: DataFrame, words_per_block: int = 200_000) -> DataFrame:
-    """(form, word, cost, n) for every unknown form and every candidate within reach at the least number of steps."""
-    spark = unknown.sparkSession
+def corrections(unknown: DataFrame, vocab: DataFrame, words_per_block: int = 200_000, forms_per_block: int = 4_000) -> DataFrame:
+    """(form, word, cost, n) for every unknown form and every candidate within reach at the least number of steps.
+
+    Both counts of blocks follow the data, so a task holds one trie of bounded size and looks up
+    a bounded number of forms, however large the vocabulary or the scans grow.
+    """
     shards = max(1, math.ceil(vocab.count() / words_per_block))
-    blocks = max(12, spark.sparkContext.defaultParallelism)
+    blocks = max(12, math.ceil(unknown.count() / forms_per_block))
     left = unknown.select("form", F.pmod(F.xxhash64("form"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     right = vocab.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
 
@@ -576,7 +579,7 @@ def evidence(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     found = written(pages.select("chunk_id", "text").mapInPandas(extract, "chunk_id bigint, form string, before string, candidates boolean"))
     known = vocab.select(F.col("word").alias("form"), F.lit(True).alias("is_known"))
     marked = found.join(known, "form", "left")
-    unknown = marked.where("is_known is null and candidates").select("form").distinct()
+    unknown = written(marked.where("is_known is null and candidates").select("form").distinct())
     cands = written(corrections(unknown, vocab))
     # Context: how often the candidate follows the word before it.
     need = marked.where("is_known is null").select("form", "before").distinct().join(cands, "form").where("before <> ''").select(F.concat_ws(" ", "before", "word").alias("pair")).distinct()
