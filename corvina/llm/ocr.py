@@ -205,7 +205,7 @@ def wanted_forms(text: str) -> dict[str, bool]:
 
 # --- furniture ------------------------------------------------------------------------------
 
-FOLDS = (("ü", "ti"), ("ﬁ", "fi"), ("@", "a"), ("†", "t"), ("0", "o"), ("!", "i"), ("(", "c"), ("5", "s"), ("1", "l"), ("9", "g"), ("6", "b"), ("2", "z"), ("cl", "d"), ("rn", "m"), ("ri", "n"), ("in", "m"), ("ii", "u"), ("li", "h"), ("e", "c"), ("y", "v"))
+FOLDS = (("ü", "ti"), ("ﬁ", "fi"), ("@", "a"), ("†", "t"), ("0", "o"), ("!", "i"), ("(", "c"), ("5", "s"), ("1", "l"), ("9", "g"), ("6", "b"), ("2", "z"), ("e", "c"), ("y", "v"), ("cl", "d"), ("rn", "m"), ("ri", "n"), ("in", "m"), ("ii", "u"), ("li", "h"))
 
 
 def skeleton(line: str) -> str:
@@ -332,11 +332,11 @@ def furniture(text: str, page: int | None, heads: set[str], corpus: set[str]) ->
             continue
         p = plain(s)
         below = lines[t + 1].strip() if t + 1 < len(lines) else ""
-        if len(s) > 90 or s.endswith((".", ",", ";", "!", "?")) or s[-1] in HYPHENS or FIGURES.match(s) or below[:1].islower():
-            continue
-        if TAIL_PAGE.search(p) or EDITION.search(p):
+        if len(s) <= 90 and (TAIL_PAGE.search(p) or EDITION.search(p)):
             out.add(t)
             continue
+        if len(s) > 90 or s.endswith((".", ",", ";", "!", "?")) or s[-1] in HYPHENS or FIGURES.match(s) or below[:1].islower():
+            continue
         if core(s) in heads or skeleton(s) in corpus:
             out.add(t)
             continue
