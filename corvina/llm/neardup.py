@@ -79,7 +79,11 @@ def shingle_sets(texts: list[str | None], shingle: int, least_words: int) -> lis
         s ^= s >> np.uint64(32)
     out: list[np.ndarray | None] = []
     for a, b in zip(starts.tolist(), ends.tolist()):
-        out.append(np.unique(s[a : b - shingle + 1]) if b - a >= max(least_words, shingle) else None)
+        if b - a < max(least_words, shingle):
+            out.append(None)
+            continue
+        x = np.sort(s[a : b - shingle + 1])
+        out.append(x[np.append(True, x[1:] != x[:-1])])
     return out
 
 
@@ -316,8 +320,6 @@ def _candidates(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
             a, b = holder[ii[ok]], holder[j[ok]]
             if not len(a):
                 continue
-            pair = np.unique(np.maximum(a, b).astype(np.int64) << 32 | np.minimum(a, b))
-            a, b = pair >> 32, pair & 0xFFFFFFFF
             a, b = a[a != b], b[a != b]
             times = size[a]
             open_groups(np.repeat(first[a], times) + _ranges(times), np.repeat(b, times))
@@ -380,7 +382,14 @@ def near_duplicates(rows: DataFrame, id_col: str, text_col: str, shingle: int =
     counts = spark.sparkContext.broadcast(freq)  # 4 MB, whatever the input
     parts = max(12, math.ceil(int(freq.sum(dtype=np.int64)) * (1 - threshold) / PER_TASK))
     posted = _post(_leading(rows, counts, shingle, least_words, threshold), counts, parts)
-    pairs = posted.repartition(parts, "part").groupBy("part").applyInPandas(lambda f: _candidates(f, threshold), "lo_a bigint, lo_b bigint").distinct()
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)
+        if held:
+            yield _candidates(pd.concat(held), threshold)
+
+    # One part a task: parts hold about as many postings each, so tasks are even.
+    pairs = posted.repartitionById(parts, F.col("part")).mapInPandas(compare, "lo_a bigint, lo_b bigint").distinct()
     classes = members.groupBy("hi", "lo").agg(F.min("id").alias("id"))
     side = lambda s: classes.select(F.col("hi").alias(f"hi_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("id").alias(f"id_{s}"))
     pairs = written(pairs.join(side("a"), "lo_a").join(side("b"), "lo_b"))
