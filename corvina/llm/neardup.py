@@ -438,4 +438,10 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p5_found": r"""WITH w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT chunk_id, hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS h FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 60)),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS o FROM s a JOIN s b ON a.h = b.h AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+SELECT x AS chunk_id_a, y AS chunk_id_b FROM o JOIN n p ON p.chunk_id = x JOIN n q ON q.chunk_id = y WHERE o >= 0.6e0 * (p.n + q.n - o) - 1e-9""",
+}
