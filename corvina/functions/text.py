@@ -31,8 +31,8 @@ def sparse_tokens(text: Column) -> Column:
     """Lower-case words of at least three letters, without stop words and marks around them."""
     parts = F.split(F.lower(text), BLANKS)
     bare = F.transform(parts, lambda t: F.regexp_replace(t, f"^{EDGE_MARKS}|{EDGE_MARKS}$", ""))
-    stop = strings(SPARSE_STOP_WORDS)
-    return F.filter(bare, lambda t: (F.length(t) >= 3) & t.rlike(r"^\p{L}+$") & ~F.array_contains(stop, t))
+    # A list of literals is looked up as a hash set.
+    return F.filter(bare, lambda t: (F.length(t) >= 3) & t.rlike(r"^\p{L}+$") & ~t.isin(*SPARSE_STOP_WORDS))
 
 
 def token_set(text: Column) -> Column:
@@ -121,10 +121,12 @@ def relation_type(value: Column) -> Column:
 
 def hash_components(text: Column, dims: int = 64) -> Column:
     """A unit vector made of the bytes of sha256, repeated: the stand-in for an embedding model."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    # One-element arrays bind the digest, the bytes and their norm, so each is computed once a text.
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    bytes_of = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1)
+    raw = once(F.sha2(text, 256), bytes_of)
+    with_norm = once(raw, lambda r: F.struct(r.alias("r"), F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)).alias("n")))
+    return once(with_norm, lambda v: F.transform(v["r"], lambda x: F.when(v["n"] > 0, x / v["n"]).otherwise(x)))
 
 
 def html_text(html: Column) -> Column:

@@ -43,8 +43,17 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 
 
 def current_chunks(chunks: DataFrame) -> DataFrame:
-    """The last ingestion of each chunk of a document."""
-    return latest(chunks, ["document_id", "chunk_index"], ["created_at", "chunk_id"])
+    """The last ingestion of each chunk of a document.
+
+    Only keys are compared and shuffled; the texts stay where they are read, less the few chunks
+    that a later ingestion replaced.
+    """
+    keys = chunks.select("document_id", "chunk_index", F.struct("created_at", "chunk_id").alias("_at"))
+    newest = keys.groupBy("document_id", "chunk_index").agg(F.max("_at").alias("_newest"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    newest = newest.select(F.col("document_id").alias("_d"), F.col("chunk_index").alias("_i"), "_newest")
+    same = F.col("document_id").eqNullSafe(F.col("_d")) & F.col("chunk_index").eqNullSafe(F.col("_i"))
+    replaced = keys.join(newest, same).where(F.col("_at") != F.col("_newest")).select(F.col("_at.chunk_id").alias("chunk_id"))
+    return chunks.join(replaced, "chunk_id", "left_anti").select(*chunks.columns)
 
 
 def zero_filled(df: DataFrame, column: str, domain: Sequence[str], name: str = "n") -> DataFrame:
