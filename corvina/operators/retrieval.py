@@ -17,7 +17,8 @@ LEXICAL_WEIGHT, SCORE_FLOOR, MOST_ALIKE = 0.15, 0.25, 0.82
 
 def term_counts(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, tf, len): how often each term occurs in a text, and the text's tokens."""
-    toks = rows.select(F.col(id_col).alias("id"), T.sparse_tokens(text).alias("tokens")).where(F.size("tokens") > 0)
+    # The one-row explode keeps the tokens from being computed again for each use.
+    toks = rows.select(F.col(id_col).alias("id"), F.explode(F.array(T.sparse_tokens(text))).alias("tokens")).where(F.size("tokens") > 0)
     return toks.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql.window import Window
 from corvina.functions import text as T
 from corvina.operators import retrieval as R
 from corvina.operators.tables import current_chunks, numbered
-from corvina.session import table, written
+from corvina.session import spread, table, written
 
 QUERY = "rimborso delle spese mediche dopo la denuncia del sinistro firmata"
 TOP_K, OVERSAMPLING = 12, 3
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return current_chunks(table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_index", "text", "section_title", "page_start", "page_end", "created_at")).where("text is not null")
+    return current_chunks(spread(table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_index", "text", "section_title", "page_start", "page_end", "created_at"))).where("text is not null")
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
