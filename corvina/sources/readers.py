@@ -56,6 +56,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     HTML and plain text are decoded in the JVM, DOCX in Arrow batches. A file that cannot be
     read gets an error instead of a text; PDF and images need a parser that is not built in.
+    Spark's file source leaves out files of no bytes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
     files = files.withColumn("parser", parser_of(F.lit(""), F.col("path"))).withColumn("size_error", F.when(F.col("length") == 0, "empty file").when(F.col("length") > MOST_BYTES, "too large"))
