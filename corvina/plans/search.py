@@ -144,14 +144,21 @@ def full_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
-    """Mean precision, recall and document coverage at 5: questions are section titles, relevant are the chunks under them."""
+    """Mean precision, recall and document coverage at 5: questions are section titles, relevant are the chunks under them.
+
+    Every title that is not blank is a case. Hits are found by joining the best five with the rows
+    of the titles, so a title of any number of chunks is whole and none is held as an array.
+    """
     chunks = _chunks(spark, d)
-    titles = chunks.where("section_title is not null and length(section_title) > 12").groupBy("section_title").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"), F.array_sort(F.collect_set("document_id")).alias("documents")).where((F.size("relevant") >= 2) & (F.size("relevant") <= 50))
-    cases = written(titles.select((F.xxhash64("section_title")).alias("query_id"), F.col("section_title").alias("query_text"), "relevant", "documents"))
-    top = _sparse_top(spark, _terms(spark, d), cases.select("query_id", "query_text"), 5)
-    found = top.join(chunks.select(F.col("chunk_id").alias("id"), "document_id"), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "document_id"))).alias("r"))
-    got = cases.join(found, "query_id", "left").select("*", F.coalesce(F.transform("r", lambda x: x["id"]), F.array().cast("array<bigint>")).alias("ids"), F.coalesce(F.transform("r", lambda x: x["document_id"]), F.array().cast("array<bigint>")).alias("docs"))
-    each = got.select(R.precision_at(F.col("ids"), F.col("relevant"), 5).alias("p"), R.recall_at(F.col("ids"), F.col("relevant"), 5).alias("r"), R.recall_at(F.col("docs"), F.col("documents"), 5).alias("c"))
+    titled = written(chunks.where(r"section_title rlike '\\S'").select(F.xxhash64("section_title").alias("query_id"), F.col("section_title").alias("query_text"), "chunk_id", "document_id"))
+    cases = written(titled.groupBy("query_id", "query_text").agg(F.countDistinct("chunk_id").alias("relevant"), F.countDistinct("document_id").alias("documents")))
+    top = written(_sparse_top(spark, _terms(spark, d), cases.select("query_id", "query_text"), 5).select("query_id", F.col("id").alias("chunk_id")))
+    hits = top.join(titled.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    docs = top.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("query_id", "document_id").distinct()
+    covered = docs.join(titled.select("query_id", "document_id").distinct(), ["query_id", "document_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("covered"))
+    got = cases.join(hits, "query_id", "left").join(covered, "query_id", "left")
+    share = lambda n, of: F.coalesce(F.col(n), F.lit(0)) / of
+    each = got.select(share("hits", F.lit(5.0)).alias("p"), share("hits", F.col("relevant")).alias("r"), share("covered", F.col("documents")).alias("c"))
     mean = lambda x: F.round(F.coalesce(F.avg(x), F.lit(0.0)), 4)
     return each.agg(F.count(F.lit(1)).alias("cases"), mean("p").alias("precision_at_5"), mean("r").alias("recall_at_5"), mean("c").alias("document_coverage"))
 
