@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -62,8 +62,8 @@ ADDRESS_LOW = re.compile(rf"(?<![\w'’.])(?:via|viale|piazza|largo|vicolo|contr
 NOT_LOW = re.compile(r"\b(?:mese|pec|di\s\d|per|con|telematica|breve|giorno|anno|formazione|segnalazioni|il|che|alle|ore|dal)\b")
 STREET_EN = r"(?:Street|Road|Avenue|Lane|Row|Drive|Close|Way|Square|Court|Place|Terrace|Crescent|Gardens|Hill|Grove|Walk|Mews|St\.|Rd\.?|Ave\.?)"
 ADDRESS_EN = re.compile(rf"(?<![\w/.,-])\d{{1,4}}\s?[A-Za-z]?\s(?:[A-Z][a-z'’]+\s){{1,4}}{STREET_EN}(?![a-z])|(?<![\w/.,-])\d{{1,4}}[A-Z]?\s(?:[A-Z'’]+\s){{1,4}}(?:STREET|ROAD|AVENUE|LANE|ROW|DRIVE|CLOSE|WAY|SQUARE|COURT)(?![A-Z])|(?<=\bat )\d{{1,4}}[a-z]?\s(?:[a-z'’]+\s){{1,3}}(?:street|road|avenue|lane|row|drive|close|way|square|court)\b")
-STREET_WORDS = frozenset("via viale piazza piazzale corso largo vicolo vico contrada strada salita lungomare località frazione rione zza".split())
-STREET_SHORT = ("v.le", "c.so", "p.za", "l.go", "p.le", "c.da")
+STREET_WORDS = frozenset("via viale piazza piazzale corso largo vicolo vico contrada strada salita lungomare località frazione rione borgata zza".split())
+STREET_SHORT = ("v.", "v.le", "c.so", "p.za", "l.go", "p.le", "c.da")
 STREET_EN_WORDS = frozenset("street road avenue lane row drive close way square court place terrace crescent gardens hill grove walk mews st rd ave".split())
 
 EMAIL = re.compile(r"(?<![\w.+@-])[A-Za-z0-9_][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w@])")
@@ -106,11 +106,17 @@ PLAIN = re.compile(r"^[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u20ac\u0
 
 def normalise(text: str) -> tuple[str, list[int]]:
     """(normalised text, for each of its characters and its end the place in ``text``)."""
-    out: list[str] = []
-    at: list[int] = []
+    norm, at = _normalised(text)
+    return norm, list(at)
+
+
+def _normalised(text: str) -> tuple[str, Sequence[int]]:
+    """As ``normalise``; the places of a text that stays as it is are a range."""
     if PLAIN.match(text):
-        out, at = list(text), list(range(len(text)))
+        norm, at = text, range(len(text) + 1)
     else:
+        out: list[str] = []
+        at = []
         for i, c in enumerate(text):
             if c in INVISIBLE:
                 continue
@@ -120,8 +126,8 @@ def normalise(text: str) -> tuple[str, list[int]]:
             for x in d:
                 out.append(x)
                 at.append(i)
-    at.append(len(text))
-    norm = "".join(out)
+        at.append(len(text))
+        norm = "".join(out)
     for rule, put in ((AT, "@"), (DOT, ".")):
         if (rule is AT and HAS_AT.search(norm)) or (rule is DOT and "@" in norm):
             norm, at = _rewrite(norm, at, rule, lambda m, p=put: p)
@@ -130,7 +136,7 @@ def normalise(text: str) -> tuple[str, list[int]]:
     return norm, at
 
 
-def _rewrite(text: str, at: list[int], rule: re.Pattern, put) -> tuple[str, list[int]]:
+def _rewrite(text: str, at: Sequence[int], rule: re.Pattern, put) -> tuple[str, list[int]]:
     out, places, last = [], [], 0
     for m in rule.finditer(text):
         if rule is DOT and "@" not in text[max(0, m.start() - 60) : m.start()] and "@" not in text[m.end() : m.end() + 40]:
@@ -146,7 +152,7 @@ def _rewrite(text: str, at: list[int], rule: re.Pattern, put) -> tuple[str, list
     return "".join(out), places
 
 
-def _end(at: list[int], text: str, end: int) -> int:
+def _end(at: Sequence[int], text: str, end: int) -> int:
     """The source place just after normalised character ``end - 1``."""
     stop = at[end]
     # Characters that were left out after the find do not belong to it.
@@ -157,19 +163,16 @@ def _end(at: list[int], text: str, end: int) -> int:
 
 def finds(text: str, common: frozenset | set) -> list[tuple[int, int, str]]:
     """(start, end, kind) in ``text``, in order and apart."""
-    lower = text.lower()
+    norm, at = _normalised(text)
+    lower = norm.lower()
     words = set(WORD.findall(lower))
-    digit = any(c.isdigit() for c in text) if len(text) < 400 else bool(re.search(r"\d", text))
-    mail = bool(HAS_AT.search(text))
+    digit = re.search(r"\d", norm) is not None
     given = not GIVEN.isdisjoint(words)
-    initial = INITIAL.search(text) is not None
+    initial = INITIAL.search(norm) is not None
     street = digit and (not STREET_WORDS.isdisjoint(words) or any(s in lower for s in STREET_SHORT))
     street_en = digit and not STREET_EN_WORDS.isdisjoint(words)
-    if not (mail or given or initial or digit or SPELLED.search(text)):
-        return []
-    if digit and not (mail or given or initial or street or street_en) and not PHONE.search(text) and not IDENTITY.search(text) and PLAIN.match(text) and not IDENTITY_LOW.search(text):
+    if not ("@" in norm or given or initial or digit):
         return []
-    norm, at = normalise(text)
     taken: list[tuple[int, int, str]] = []
 
     def free(a: int, b: int) -> bool:

@@ -351,6 +351,25 @@ def test_finds(text, want):
     assert found == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Il 12/05/2021 lascia il numero zero sei tre due uno nove otto sette due oggi", [("phone", "zero sei tre due uno nove otto sette due")]),
+        ("Vedi [1]: zero sei tre due uno nove otto sette due", [("phone", "zero sei tre due uno nove otto sette due")]),
+        ("Ha risposto M\u0430rio Draghezzani confermando", [("name", "M\u0430rio Draghezzani")]),
+        ("Ha risposto Ma\u200brio Draghezzani confermando", [("name", "Ma\u200brio Draghezzani")]),
+        ("Chiede \u0422. Quillstead", [("name", "\u0422. Quillstead")]),
+        ("Abito in Vi\u0430 del Mulino Vecchio, n. 174", [("address", "Vi\u0430 del Mulino Vecchio, n. 174")]),
+        ("Abito in Piaz\u00adza Garibaldi, n. 12", [("address", "Piaz\u00adza Garibaldi, n. 12")]),
+        ("Abito in V. Garibaldi, n. 12", [("address", "V. Garibaldi, n. 12")]),
+        ("I live at 21 Tanners R\u043ew, is it covered?", [("address", "21 Tanners R\u043ew")]),
+        ("Scrivere a info\uff20acme.it entro", [("email", "info\uff20acme.it")]),
+    ],
+)
+def test_gates_see_the_normalised_text(text, want):
+    assert [(k, text[a:b]) for a, b, k in pii.finds(text, COMMON)] == want
+
+
 def test_redaction_leaves_the_rest(spark):
     text = "Scrivere a m.rossi@example.com o chiamare 06-095.7666, grazie."
     assert pii.redact(text, COMMON) == "Scrivere a [EMAIL] o chiamare [PHONE], grazie."
