@@ -42,6 +42,8 @@ GROUP = 64
 HOT = 50_000
 #: Postings that one task compares.
 PER_TASK = 1_000_000
+#: Sequences after a leading one are counted up to this many; it stands for any larger number too.
+REST_OPEN = 65_535
 WORDS = re.compile("[^\\W_]+|\x01")
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -162,7 +164,7 @@ def _leading(rows: DataFrame, counts, shingle: int, least_words: int, threshold:
                     continue
                 order = order[shared]
                 tokens = (s[order] >> np.uint64(32)).astype(np.uint32)
-                rest = np.minimum(len(s) - 1 - shared, 65535).astype(np.uint16)
+                rest = np.minimum(len(s) - 1 - shared, REST_OPEN).astype(np.uint16)
                 bits = np.zeros(SKETCH_BITS, dtype=np.uint8)
                 bits[((s & np.uint64(0xFFFFFFFF)) % np.uint64(SKETCH_BITS)).astype(np.int64)] = 1
                 anchor = int(tokens[0])
@@ -272,7 +274,8 @@ def _candidates(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
     order = np.lexsort((least[holder], key))
     key, holder, rest = key[order], holder[order], rest[order]
     small, large = least[holder], most[holder]
-    slack = (rest + 1 - share * small + 1e-9) / share  # the largest partner that leaves enough overlap
+    # The largest partner that leaves enough overlap; a number of following sequences that did not fit bounds nothing.
+    slack = np.where(rest >= REST_OPEN, np.inf, (rest + 1 - share * small + 1e-9) / share)
     run_start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     run = np.repeat(np.arange(len(run_start)), np.diff(np.append(run_start, len(key))))
     rank = run.astype(np.int64) * 2**31 + small

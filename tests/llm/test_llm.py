@@ -195,6 +195,21 @@ def test_hot_sequences_are_split(spark, monkeypatch):
     assert {tuple(r) for r in neardup.expanded_pairs(members, links).collect()} == brute(rows, 3, 0.6, 0)
 
 
+def test_very_long_texts_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP", 1)  # as if the rarest sequence of one had been edited
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(100_000)]
+    rows = []
+    for i in range(2):
+        new = list(base)
+        for _ in range(200):
+            new[rng.randrange(len(new))] = "neu"
+        rows.append((i, " ".join(new)))
+    df = spark.createDataFrame(rows, "chunk_id long, text string")
+    members, links = neardup.near_duplicates(df, "chunk_id", "text", 5, 0.8)
+    assert {tuple(r) for r in neardup.expanded_pairs(members, links).collect()} == brute(rows, 5, 0.8, 0) == {(0, 1)}
+
+
 # --- 2 --------------------------------------------------------------------------------------
 
 
