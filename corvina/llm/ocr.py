@@ -462,13 +462,15 @@ def fixed(token: str, known: set[str], fixes: dict[str, str]) -> str:
     """A token with its misread words replaced, in their case."""
     out = token
     for f in forms(token):
-        if f in known or f not in fixes:
+        if f in known:
             continue
-        at = out.lower().find(f)
-        if at >= 0:
-            old, new = out[at : at + len(f)], fixes[f]
-            new = new.upper() if old.isupper() and len(old) > 1 else new[:1].upper() + new[1:] if old[:1].isupper() else new
-            out = out[:at] + new + out[at + len(f) :]
+        # A compound that nothing stands for is repaired in its parts.
+        for x in [f] if f in fixes else [p for part in f.split("-") for p in forms(part) if p not in known and p in fixes]:
+            at = out.lower().find(x)
+            if at >= 0:
+                old, new = out[at : at + len(x)], fixes[x]
+                new = new.upper() if old.isupper() and len(old) > 1 else new[:1].upper() + new[1:] if old[:1].isupper() else new
+                out = out[:at] + new + out[at + len(x) :]
     return out
 
 
@@ -525,10 +527,13 @@ def vocabulary(chunks: DataFrame, pages: DataFrame, least: int = 3) -> DataFrame
     """(word, n): how often each word occurs in chunks that are not of scans."""
     other = chunks.where("text is not null").join(pages.select("document_id").distinct(), "document_id", "left_anti")
     words = other.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))).alias("word"))
-    # Words with a hyphen of their own are few; scans show them too, unbroken in most lines.
+    # Words with a hyphen of their own are few; scans show them too, unbroken in most lines. They count if
+    # other documents know all their parts, else a misread one would vouch for itself.
     compounds = pages.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:-[\p{L}]+)+"), F.lit(0))).alias("word"))
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    counted = counted.unionByName(compounds.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    counted = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+    compounds = written(compounds.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    doubtful = compounds.select(F.col("word").alias("compound"), F.explode(F.split("word", "-")).alias("word")).join(counted, "word", "left_anti").select(F.col("compound").alias("word")).distinct()
+    counted = counted.unionByName(compounds.join(doubtful, "word", "left_anti"))
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 

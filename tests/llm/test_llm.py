@@ -267,6 +267,16 @@ def test_scans_in_rows(spark):
     assert ocr.line_defects(ocr.evidence(chunks.limit(0), docs)).count() == 0
 
 
+def test_compounds_of_scans_do_not_judge_themselves(spark):
+    plain = [(i, 100 + i, "Il servizio vendita risponde al post di assistenza.") for i in range(4)]
+    scans = [(50, 7, "Il servizio post-vendita e post-vcndita risponde")]
+    schema = "chunk_id long, document_id long, text string"
+    words = {r.word for r in ocr.vocabulary(spark.createDataFrame(plain + scans, schema), spark.createDataFrame(scans, schema)).collect()}
+    assert "post-vendita" in words and "post-vcndita" not in words
+    known, fixes = {"post", "vendita"}, {"vcndita": "vendita"}
+    assert ocr._bad("post-vcndita", known, fixes) and ocr.fixed("Post-vcndita,", known, fixes) == "Post-vendita,"
+
+
 # --- 3 --------------------------------------------------------------------------------------
 
 
