@@ -111,8 +111,11 @@ GROUPS = ("log_day", "source", "intent")
 
 
 def latency_counts(logs: DataFrame) -> DataFrame:
-    """Counts of measured latencies (above 0) per UTC day, source and intent, each log_id once."""
-    once = logs.where("latency_ms > 0 and intent is not null").select("log_id", F.date_format("created_at", "yyyy-MM-dd").alias("log_day"), F.lower(F.trim("source")).alias("source"), "intent", "latency_ms")
+    """Counts of measured latencies (above 0) per UTC day, source and intent, each log_id once.
+
+    Rows without an intent form groups of their own; p6_found alone leaves them out.
+    """
+    once = logs.where("latency_ms > 0").select("log_id", F.date_format("created_at", "yyyy-MM-dd").alias("log_day"), F.lower(F.trim("source")).alias("source"), "intent", "latency_ms")
     # Repeated deliveries agree in every column, so any copy stands for the others.
     once = once.groupBy("log_id").agg(*[F.first(c).alias(c) for c in (*GROUPS, "latency_ms")])
     return value_counts(once, GROUPS, "latency_ms")
@@ -130,7 +133,7 @@ def p6_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str, least: int = 5, limit_ms: float = 6000.0) -> DataFrame:
-    counts = written(latency_counts(table(spark, sf_dir, "query_logs")))
+    counts = written(latency_counts(table(spark, sf_dir, "query_logs").where("intent is not null")))
     return percentiles(counts, GROUPS, (0.5,)).where((F.col("n") >= least) & (F.col("value") > limit_ms)).select(*GROUPS)
 
 

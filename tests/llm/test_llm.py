@@ -89,6 +89,15 @@ def test_percentiles_combine_and_bound_the_error(spark):
         percentiles.percentiles(counts, ["g"], (0.0,))
 
 
+def test_latencies_without_intent_are_a_group(spark):
+    from datetime import datetime
+
+    rows = [(i, datetime(2024, 1, 1), "web", "factual" if i else None, 10 + i) for i in range(3)]
+    logs = spark.createDataFrame(rows, "log_id long, created_at timestamp, source string, intent string, latency_ms int")
+    got = percentiles.percentiles(percentiles.latency_counts(logs), percentiles.GROUPS, (0.5,)).collect()
+    assert {(r.intent, r.value, r.n) for r in got} == {(None, 10.0, 1), ("factual", 11.0, 2)}
+
+
 # --- 7 and 8 --------------------------------------------------------------------------------
 
 
