@@ -6,7 +6,9 @@ a bounded sample of the log: answers are cut off, questions handed back in alter
 answers exchanged for ones in another language and refusals composed, each next to harmless
 look-alikes (a remark before real content, a question repeated before its answer, a sentence
 without its full stop, a translation that was asked for). Rows of the sample that the first
-fit finds defective are left out of the second. Each defect's threshold is set on held-out rows.
+fit finds defective are left out of the second, and its refusals are learnt from, so that the log's own
+ways to decline are known. Each defect's threshold is set on held-out rows: rows of other pairs,
+and with refusals in other wordings, than those learnt from.
 
 The languages are told apart by words of the documents, whose ``lang`` is known.
 
@@ -25,19 +27,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvina.session import table
 
 #: Log rows that training rows are made from, and documents that languages are learnt from.
 MOST_ROWS, MOST_DOCS = 6_000, 3_000
 LANGUAGES = ("it", "en", "fr", "de", "es")
-LABELS = ("truncated", "refusal", "copy", "other_language")
+LABELS = ("truncated", "refusal", "copy", "other_language", "empty")
 BITS = 18
 LANG_BITS = 16
 WORD = re.compile("[^\\W\\d_]+|\\d[\\d.,/:]*|\x01")
 #: Stand-ins for a missing value (fixed values, lower case).
 PLACEHOLDERS = frozenset("null none nan nil na n/a n.d. nd n.a. undefined empty <empty> <null> <none> missing void tbd vuoto leer vide vacío (null) (none) (empty) [null] [none] {} [] \"\" ''".split())
+_PLACEHOLDERS = sorted(PLACEHOLDERS)
 #: A language asked for (fixed values: language, names of it).
 ASKED = {
     "it": r"italian[oa]?|italien|italienisch|auf italienisch",
@@ -123,13 +126,9 @@ def clean(texts: list[str | None]) -> list[str]:
     return [t.replace("\x01", " ") if t else "" for t in texts]
 
 
-def is_empty(answer: str | None) -> bool:
-    if answer is None:
-        return True
-    s = answer.strip().lower()
-    if s in PLACEHOLDERS or s.strip("<>[](){}\"'.*_- ") in PLACEHOLDERS:
-        return True
-    return not any(c.isalnum() for c in s)
+def no_text(answer: str | None) -> bool:
+    """Null, blanks or punctuation: empty by definition."""
+    return answer is None or not any(c.isalnum() for c in answer)
 
 
 @dataclass
@@ -149,6 +148,16 @@ def language_scores(model_language: np.ndarray, h: np.ndarray, starts: np.ndarra
     return _row_sums(model_language[h & (2**LANG_BITS - 1)], starts)
 
 
+def _member(a: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each a is among ``of``."""
+    if not len(of):
+        return np.zeros(len(a), bool)
+    of = np.sort(of)
+    at = np.searchsorted(of, a)
+    at[at == len(of)] = 0
+    return of[at] == a
+
+
 def _bins(x: np.ndarray, edges: list[float]) -> np.ndarray:
     return np.digitize(x, edges)
 
@@ -171,7 +180,7 @@ def features(language: np.ndarray, queries: list[str | None], answers: list[str
         line = s.rsplit("\n", 1)[-1].strip()
         bullet = 1 if line in ("-", "*", "•", "–") or re.fullmatch(r"\d+[.)]?", line) and "\n" in s else 0
         listing = 1 if line[:1] in "-*•" or re.match(r"\d+[.)] ", line) else 0
-        word = s.rsplit(None, 1)[-1] if s else ""
+        word = (s.split() or [""])[-1]
         capital = word[:1].isupper()
         ends[i] = kind
         flags[i] = opened + 4 * bullet + 8 * listing + 16 * cited + 32 * capital + 64 * (len(word) < 3)
@@ -182,11 +191,11 @@ def features(language: np.ndarray, queries: list[str | None], answers: list[str
     a_len, q_len = np.diff(as_), np.diff(qs)
     rows_a, rows_q = np.repeat(np.arange(n), a_len), np.repeat(np.arange(n), q_len)
     key_a, key_q = rows_a << 32 | ah, rows_q << 32 | qh
-    shared = np.isin(key_a, key_q)
-    novel = ~shared & ~np.isin(ah, CONTENTLESS)
+    shared = _member(key_a, key_q)
+    novel = ~shared & ~_member(ah, CONTENTLESS)
     n_novel = _row_sums(novel.astype(float), as_)
     n_shared = _row_sums(shared.astype(float), as_)
-    back = _row_sums(np.isin(key_q, key_a).astype(float), qs) / np.maximum(q_len, 1)
+    back = _row_sums(_member(key_q, key_a).astype(float), qs) / np.maximum(q_len, 1)
 
     # Endings: the last three words where no full stop follows.
     def nth(k: int) -> np.ndarray:
@@ -252,7 +261,23 @@ def features(language: np.ndarray, queries: list[str | None], answers: list[str
     ids, rows = ids[order], rows[order]
     starts = np.searchsorted(rows, np.arange(n + 1))
     even = lambda x: (x.reshape(-1), np.arange(0, x.size + 1, x.shape[1]))
-    return [even(cut), (ids, starts), even(copy), even(lang)]
+    # What a short answer is written as: stand-ins for a missing value are short.
+    letters = np.fromiter((sum(map(str.isalnum, t)) if len(t) < 60 else 60 for t in a_text), np.int64, n)
+    sizes = np.fromiter((min(len(t), 60) for t in a_text), np.int64, n)
+    names = np.fromiter((_hashes["w" + t.strip().lower()] if len(t) < 60 else 0 for t in a_text), np.int64, n)
+    inner = np.fromiter((_hashes["w" + t.strip("<>[](){}\"'.*_- \t\n").lower()] if len(t) < 60 else 0 for t in a_text), np.int64, n)
+    edges = np.fromiter((_hashes["w" + "".join(c for c in t.strip() if not c.isalnum())] if len(t) < 60 else 0 for t in a_text), np.int64, n)
+    blank = np.stack(
+        [
+            _mix(_bins(letters, [1, 2, 3, 5, 8, 12, 20, 40]), 41),
+            _mix(names, 42),
+            _mix(inner, 43),
+            _mix(edges * 16 + _bins(letters, [1, 2, 4, 8, 16]), 44),
+            _mix(_bins(sizes, [1, 2, 4, 8, 16, 32]) * 8 + _bins(a_len, [1, 2, 3]), 45),
+        ],
+        axis=1,
+    )
+    return [even(cut), (ids, starts), even(copy), even(lang), even(blank)]
 
 
 # --- training -------------------------------------------------------------------------------
@@ -337,16 +362,34 @@ REFERRALS = {
 }
 
 
-def _refusal(rng: random.Random, lang: str, topic: str) -> str:
-    """A refusal; ways to decline and ways to find nothing are drawn alike, whatever their number."""
-    every = REFUSALS[lang]
-    nothing = [r for r in every if "{x}" in r and not r.endswith("{x}.") or "{x}" in r]
-    fixed = [r for r in every if "{x}" not in r]
-    tail = [r for r in fixed[-9:]] if len(fixed) > 20 else fixed
-    text = rng.choice(rng.choice((nothing or fixed, fixed, tail))).format(x=topic)
+#: Refusals of each language: what names a topic, what does not, and the last of these, each drawn as often.
+_DRAWS = {k: (([r for r in v if "{x}" in r] or v), (fixed := [r for r in v if "{x}" not in r]), fixed[-9:] if len(fixed) > 20 else fixed) for k, v in REFUSALS.items()}
+
+
+def wording(refusal: str) -> int:
+    """A number for the way a refusal begins; wordings are held out as a whole."""
+    import xxhash
+
+    return xxhash.xxh32_intdigest(" ".join(WORD.findall(refusal.lower())[:4])) % 5
+
+
+def _refusal(rng: random.Random, lang: str, topic: str) -> tuple[str, int]:
+    """A refusal and its wording; ways to decline and ways to find nothing are drawn alike, whatever their number."""
+    made = rng.choice(rng.choice(_DRAWS[lang]))
+    text = made.format(x=topic)
     if rng.random() < 0.3:
         text += " " + rng.choice(REFERRALS[lang])
-    return text
+    return text, wording(made)
+
+
+def _placeholder(rng: random.Random) -> str:
+    """A stand-in for a missing value, or punctuation and blanks."""
+    if rng.random() < 0.3:
+        return rng.choice((" ", "\n", "\t")) * rng.randrange(4) + rng.choice(("-", ".", "...", "—", "?", "", "\"\"", "***", "{}", "[]", "//")) * rng.randrange(1, 3)
+    word = rng.choice(_PLACEHOLDERS)
+    word = rng.choice((str, str.upper, str.title))(word)
+    left, right = rng.choice((("", ""), ("", ""), ("<", ">"), ("(", ")"), ("[", "]"), ('"', '"'), ("", "."), (" ", "\n")))
+    return left + word + right
 
 
 def _triples(text: str) -> set[tuple[str, ...]]:
@@ -358,7 +401,9 @@ DECLINING = frozenset(t for v in REFUSALS.values() for r in v for t in _triples(
 
 
 def _usable(answer: str) -> bool:
-    """Whether a log answer may stand for a sound one: it ends, and it does not decline."""
+    """Whether a log answer may stand for a sound one: it ends, it does not decline and is no stand-in."""
+    if answer.strip().lower() in PLACEHOLDERS:
+        return False
     end = CITED.sub("", answer).rstrip()[-1:]
     return end in ".!?)]»\"" and not answer.rstrip().endswith("...") and not DECLINING & _triples(answer)
 
@@ -385,75 +430,106 @@ def _cut(rng: random.Random, answer: str, lang: str) -> str | None:
     return base + rng.choice(("", ",", "")) + " " + rng.choice(CONNECTORS[lang])
 
 
-def synthetic(pairs: list[tuple[str, str, str]], seed: int) -> list[tuple[str, str, int]]:
-    """(question, answer, labels as bits) from (question, answer, language)."""
+#: A training row: question, answer, labels as bits, the number of what it was made from, its wording (-1: none).
+Made = tuple[str, str, int, int, int]
+
+
+def synthetic(pairs: list[tuple[str, str, str]], seed: int, connectors: dict[str, list[str]] | None = None) -> list[Made]:
+    """Training rows from (question, answer, language)."""
     rng = random.Random(seed)
+    connectors = connectors or {}
     by_lang: dict[str, list[str]] = {}
     for _, a, lang in pairs:
         if len(a.split()) > 4:
             by_lang.setdefault(lang, []).append(a)
-    out: list[tuple[str, str, int]] = []
-    for q, a, lang in pairs:
-        out.append((q, a, 0))
+    out: list[Made] = []
+    for i, (q, a, lang) in enumerate(pairs):
+
+        def add(question: str, answer: str, labels: int, words: int = -1, i: int = i) -> None:
+            out.append((question, answer, labels, i, words))
+
+        add(q, a, 0)
         full = len(a.split()) > 4
         if full:
             bare = re.sub(r"[.\s]+$", "", a)
             if bare[-1:].isalnum():
-                out.append((q, bare, 0))
+                add(q, bare, 0)
             sentences = [x for x in re.split(r"(?<=[.])\s+", bare) if len(x) > 15]
             mark = rng.choice(("- ", "• ", "* ", "1) ", "1. ", ""))
             listed = "\n".join(mark + x.rstrip(".") for x in sentences)
             if listed and bare[-1:].isalnum():
-                out.append((q, listed, 0))
+                add(q, listed, 0)
             for text in (a, a, listed):
                 if (c := _cut(rng, text, lang)) is not None:
-                    out.append((q, c, 1))
-        topic = " ".join(q.rstrip("?.").split()[-4:])
-        refusal = _refusal(rng, lang, topic)
-        out.append((q, refusal if rng.random() < 0.9 else refusal.rstrip("."), 2))
-        out.append((q, _refusal(rng, lang, topic), 2))
+                    add(q, c, 1)
+            if connectors.get(lang) and rng.random() < 0.5:
+                add(q, re.sub(r"[.\s]+$", "", CITED.sub("", a)) + rng.choice(("", ",")) + " " + rng.choice(connectors[lang]), 1)
+        topic = " ".join(q.rstrip("?.").split()[-rng.randrange(1, 6) :])
+        refusal, words = _refusal(rng, lang, topic)
+        add(q, refusal if rng.random() < 0.9 else refusal.rstrip("."), 2, words)
+        add(q, *(lambda r: (r[0], 2, r[1]))(_refusal(rng, lang, topic)))
         if full:
-            opener = rng.choice(REMARKS[lang]) if rng.random() < 0.6 else refusal
-            out.append((q, opener + " " + a, 0))
+            add(q, (rng.choice(REMARKS[lang]) if rng.random() < 0.6 else refusal) + " " + a, 0)
         if rng.random() < 0.3:
-            out.append((q, rng.choice(REMARKS[lang]), 0))
+            add(q, rng.choice(REMARKS[lang]), 0)
+        if rng.random() < 0.3:
+            add(q, _placeholder(rng), 16)
         if len(q.split()) > 2:
-            out.append((q, _altered(rng, q), 4))
+            add(q, _altered(rng, q), 4)
             if full:
-                out.append((q, rng.choice((f"**{q}**\n\n{a}", f"«{q}» {a}", f"{q} {a}", f"Q: {q}\nA: {a}", f"{q}\n{a}")), 0))
+                add(q, rng.choice((f"**{q}**\n\n{a}", f"«{q}» {a}", f"{q} {a}", f"Q: {q}\nA: {a}", f"{q}\n{a}")), 0)
         others = [x for x in by_lang if x != lang]
         if others and len(q.split()) > 3:
             other = rng.choice(others)
             foreign = rng.choice(by_lang[other])
-            out.append((q, foreign, 8))
+            add(q, foreign, 8)
             if rng.random() < 0.5:
                 name = rng.choice(ASKED[other].split("|")).replace("[oa]?", "o")
-                out.append((rng.choice((f"{q} ({name})", f"{name}: {q}", f"Traduci in {name} {q}", f"Please answer in {name}: {q}", f"Rispondi in {name}: {q}")), foreign, 0))
+                add(rng.choice((f"{q} ({name})", f"{name}: {q}", f"Traduci in {name} {q}", f"Please answer in {name}: {q}", f"Rispondi in {name}: {q}")), foreign, 0)
         if rng.random() < 0.2:
-            out.append((q, rng.choice(SHORT), 0))
+            add(q, rng.choice(SHORT), 0)
     return out
 
 
-def _endings(texts: list[str], langs: list[str], seed: int, per_text: int = 4) -> list[tuple[str, str, int]]:
-    """Sentences of documents, without their full stop and cut off, so that endings of all languages are known."""
+def _sentences(text: str) -> list[str]:
+    return [s for p in text.split("\n\n") for s in re.split(r"(?<=[.])\s+", " ".join(p.split())) if s.endswith(".") and 30 < len(s) < 400]
+
+
+def _connectors(texts: list[str], langs: list[str], seed: int, most: int = 400) -> dict[str, list[str]]:
+    """For each language, words that documents use inside sentences before others: two words, the last of them short."""
     rng = random.Random(seed)
-    out: list[tuple[str, str, int]] = []
+    out: dict[str, set[str]] = {}
     for text, lang in zip(texts, langs):
-        found = [s for p in text.split("\n\n") for s in re.split(r"(?<=[.])\s+", " ".join(p.split())) if s.endswith(".") and 30 < len(s) < 400]
+        for s in rng.sample(found := _sentences(text), min(2, len(found))):
+            words = s.split()
+            for x, y in zip(words[1:-2], words[2:-1]):
+                if len(y) < 5 and x.isalpha() and y.isalpha() and x.islower() and y.islower() and len(out.setdefault(lang, set())) < most:
+                    out[lang].add(f"{x} {y}" if len(x) < 7 else y)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _endings(texts: list[str], langs: list[str], seed: int, first: int, per_text: int = 4) -> list[Made]:
+    """Sentences of documents, without their full stop and cut off, so that endings of all languages are known."""
+    rng = random.Random(seed)
+    out: list[Made] = []
+    for i, (text, lang) in enumerate(zip(texts, langs), first):
+        found = _sentences(text)
         for s in rng.sample(found, min(per_text, len(found))):
             bullet = rng.choice(("", "", "- ", "• ", "1) ", "* "))
-            out.append(("", bullet + s.rstrip("."), 0))
+            out.append(("", bullet + s.rstrip("."), 0, i, -1))
             if (c := _cut(rng, s, lang)) is not None:
-                out.append(("", bullet + c, 1))
+                out.append(("", bullet + c, 1, i, -1))
     return out
 
 
 def _fit(ids: np.ndarray, starts: np.ndarray, y: np.ndarray, rounds: int = 120, l2: float = 2e-6) -> np.ndarray:
     """Logistic regression on feature lists, by Adam over all rows."""
-    used, ids = np.unique(ids, return_inverse=True)
-    rows = np.repeat(np.arange(len(y)), np.diff(starts))
+    used = np.flatnonzero(np.bincount(ids, minlength=2**BITS))
+    place = np.zeros(2**BITS, np.int64)
+    place[used] = np.arange(len(used))
+    ids, rows = place[ids], np.repeat(np.arange(len(y)), np.diff(starts))
     weight = np.where(y > 0, len(y) / max(y.sum(), 1) / 2, len(y) / max((1 - y).sum(), 1) / 2)
-    w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
+    w, m, v = (np.zeros(len(used)) for _ in range(3))
     for t in range(1, rounds + 1):
         z = np.bincount(rows, w[ids], len(y))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
@@ -469,7 +545,11 @@ def _scores(weights: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndar
     return _row_sums(weights[ids].astype(np.float64), starts)
 
 
-def _threshold(score: np.ndarray, y: np.ndarray, negatives: float = 4.0) -> float:
+#: How much more a sound look-alike weighs than a defect when a threshold is set: as often as logs have one for each row made.
+NEGATIVES = {"truncated": 4.0, "refusal": 1.0, "copy": 4.0, "other_language": 4.0, "empty": 4.0}
+
+
+def _threshold(score: np.ndarray, y: np.ndarray, negatives: float) -> float:
     """The cut with the best F1 when negatives weigh more than they were made."""
     order = np.argsort(-score)
     s, t = score[order], y[order]
@@ -481,40 +561,58 @@ def _threshold(score: np.ndarray, y: np.ndarray, negatives: float = 4.0) -> floa
     return float((s[best] + after) / 2)
 
 
+def split(made: list[Made]) -> tuple[np.ndarray, np.ndarray]:
+    """(learnt from, held out): what came from one pair stays together, and so does a wording; rows that would mix them are in neither."""
+    source, words = np.array([m[3] for m in made]) % 5 == 0, np.array([m[4] for m in made])
+    return ~source & (words != 0), source & (words <= 0)
+
+
 def fit(pairs: list[tuple[str, str]], texts: list[str], langs: list[str]) -> Model:
+    return fit_with_report(pairs, texts, langs)[0]
+
+
+def fit_with_report(pairs: list[tuple[str, str]], texts: list[str], langs: list[str]) -> tuple[Model, dict[str, tuple[float, float]]]:
+    """The model, and for each label (precision, recall) on the held-out rows."""
     language = fit_languages(texts, langs, pairs)
     empty = Model(language, [np.zeros(2**BITS, np.float32)] * len(LABELS), np.full(len(LABELS), np.inf), np.ones(len(LABELS)))
     if not pairs:
-        return empty
+        return empty, {}
     h, s = tokens(clean([a if len(a.split()) > 2 else q for q, a in pairs]))
     scores = language_scores(language, h, s)
-    base = [(q, a, LANGUAGES[k]) for (q, a), k in zip(pairs, scores.argmax(axis=1)) if _usable(a)]
+    every = [(q, a, LANGUAGES[k]) for (q, a), k in zip(pairs, scores.argmax(axis=1))]
+    base = [b for b in every if _usable(b[1])]
     if not base:
-        return empty
-    model = empty
-    endings = _endings(texts, langs, SEED)
+        return empty, {}
+    connectors = _connectors(texts, langs, SEED)
+    endings = _endings(texts, langs, SEED, len(pairs))
+    learnt: list[Made] = []
     for turn in range(2):
-        made = synthetic(base, SEED + turn) + endings
+        made = synthetic(base, SEED + turn, connectors) + endings + learnt
         y = np.array([m[2] for m in made])
         feats = features(language, [m[0] for m in made], [m[1] for m in made])
-        held = np.arange(len(made)) % 5 == 0
-        weights, cuts, scales = [], [], []
+        train, held = split(made)
+        weights, cuts, scales, report = [], [], [], {}
         for k, (ids, starts) in enumerate(feats):
             t = (y >> k & 1).astype(float)
-            keep = np.repeat(~held, np.diff(starts))
-            size = np.diff(starts)[~held]
-            w = _fit(ids[keep], np.concatenate([[0], np.cumsum(size)]), t[~held])
+            size = np.diff(starts)
+            w = _fit(ids[np.repeat(train, size)], np.concatenate([[0], np.cumsum(size[train])]), t[train])
             z = _scores(w, ids, starts)
-            weights.append(w)
-            cuts.append(_threshold(z[held], t[held]))
+            cut = _threshold(z[held], t[held], NEGATIVES[LABELS[k]]) if t[held].any() else np.inf
+            # The cut holds for rows that were not learnt from; the last weights come from all rows.
+            weights.append(_fit(ids, starts, t) if turn and np.isfinite(cut) else w)
+            cuts.append(cut)
             scales.append(max(float(np.std(z)), 1e-6))
+            hit = (z[held] > cut) & (t[held] > 0)
+            report[LABELS[k]] = (float(hit.sum() / max(1, (z[held] > cut).sum())), float(hit.sum() / max(1, t[held].sum())))
         model = Model(language, weights, np.array(cuts), np.array(scales))
         if turn == 0:
-            found = predict(model, [q for q, _, _ in base], [a for _, a, _ in base])
-            base = [b for b, f in zip(base, found) if f is None]
+            found = predict(model, [q for q, _, _ in every], [a for _, a, _ in every])
+            learnt = [(q, a, 2, i, wording(a)) for i, ((q, a, _), f) in enumerate(zip(every, found)) if f == "refusal"]
+            sound = {(q, a) for (q, a, _), f in zip(every, found) if f is None}
+            base = [b for b in base if b[:2] in sound]
             if not base:
-                return model
-    return model
+                break
+    return model, report
 
 
 def predict(model: Model, queries: list[str | None], answers: list[str | None]) -> list[str | None]:
@@ -525,31 +623,40 @@ def predict(model: Model, queries: list[str | None], answers: list[str | None])
     z = np.stack([(_scores(w, ids, starts) - c) / s for w, c, s, (ids, starts) in zip(model.weights, model.thresholds, model.scales, feats)], axis=1)
     best = z.argmax(axis=1)
     top = z[np.arange(len(best)), best]
-    return ["empty" if is_empty(a) else LABELS[k] if v > 0 else None for a, k, v in zip(answers, best.tolist(), top.tolist())]
+    return ["empty" if no_text(a) else LABELS[k] if v > 0 else None for a, k, v in zip(answers, best.tolist(), top.tolist())]
 
 
 # --- Spark ----------------------------------------------------------------------------------
 
 
-def _drawn(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows by the order of their key's hash; few more than that are sorted."""
-    n = rows.count()
-    share = min(1.0, 3 * most / max(n, 1))
-    near = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
-    return near.orderBy(F.xxhash64(key), key).limit(most)
+HASHES = 1 << 30
+
+
+def _below(key: str, most: int, n: int) -> Column:
+    """Whether a row is among about ``most`` of ``n``, by the hash of its key."""
+    return F.pmod(F.xxhash64(key), F.lit(HASHES)) < F.lit(min(HASHES, math.ceil(HASHES * most / max(n, 1))))
 
 
 def train(logs: DataFrame, documents: DataFrame) -> Model:
-    """Fit on at most MOST_ROWS log rows and MOST_DOCS documents, drawn by hash of their ids."""
-    usable = logs.where("length(trim(answer)) > 0 and query is not null").select("log_id", "query", "answer")
-    rows = _drawn(usable, "log_id", MOST_ROWS).collect()
+    """Fit on about MOST_ROWS log rows and MOST_DOCS documents, drawn by hash of their ids in one pass over each table."""
+    return fit(*sampled(logs, documents))
+
+
+def sampled(logs: DataFrame, documents: DataFrame) -> tuple[list[tuple[str, str]], list[str], list[str]]:
+    """(pairs, texts of documents, their languages)."""
+    rows = logs.where(_below("log_id", MOST_ROWS, logs.count())).where("query is not null and answer is not null").select("log_id", "query", "answer").limit(2 * MOST_ROWS).collect()
     lang = F.lower(F.substring("lang", 1, 2))
-    docs = documents.where(lang.isin(*LANGUAGES) & (F.length("text") > 100)).select("doc_id", "text", lang.alias("lang"))
+    docs = documents.select("doc_id", "text", lang.alias("lang")).where(F.col("lang").isin(*LANGUAGES))
     # As many documents of each language as there are, up to an equal share.
     share = MOST_DOCS // len(LANGUAGES)
-    found = [r for k in LANGUAGES for r in _drawn(docs.where(F.col("lang") == k), "doc_id", share).collect()]
-    pairs = {r["log_id"]: (r["query"], r["answer"]) for r in rows if not is_empty(r["answer"])}
-    return fit(list(pairs.values()), [r["text"] for r in found], [r["lang"] for r in found])
+    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    near = F.lit(False)
+    for k, n in counts.items():
+        near |= (F.col("lang") == k) & _below("doc_id", share, n)
+    found = docs.where(near & (F.length("text") > 100)).limit(2 * MOST_DOCS).collect()
+    pairs = {r["log_id"]: (r["query"], r["answer"]) for r in rows if not no_text(r["answer"])}
+    found = sorted({r["doc_id"]: r for r in found}.values(), key=lambda r: r["doc_id"])
+    return [pairs[k] for k in sorted(pairs)], [r["text"] for r in found], [r["lang"] for r in found]
 
 
 def pair_defects(logs: DataFrame, model: Model) -> DataFrame:

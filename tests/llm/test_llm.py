@@ -290,18 +290,25 @@ def test_compounds_of_scans_do_not_judge_themselves(spark):
 
 
 @pytest.fixture(scope="module")
-def model(spark, data):
+def fitted(spark, data):
     larger = data.replace("0.001", "0.01")  # a few thousand rows to learn from
     data = larger if os.path.isdir(larger) else data
     logs, docs = spark.read.parquet(f"{data}/query_logs.parquet"), spark.read.parquet(f"{data}/documents.parquet")
-    return pairs.train(logs, docs)
+    return pairs.fit_with_report(*pairs.sampled(logs, docs))
 
 
-def test_empty_answers():
-    for a in (None, "", " \n", "...", "N/A", "null", "{}", "[]", "—", "<empty>", "\xa0", "n.d."):
-        assert pairs.is_empty(a)
-    for a in ("No.", "Sì", "12", "nulla osta"):
-        assert not pairs.is_empty(a)
+@pytest.fixture(scope="module")
+def model(fitted):
+    return fitted[0]
+
+
+def test_empty_answers(model):
+    empty = [None, "", " \n", "...", "N/A", "null", "{}", "[]", "—", "<empty>", "\xa0", "n.d.", "(none)", "NULL."]
+    full = ["No.", "Sì", "12", "nulla osta", "Prego!", "45 giorni."]
+    got = pairs.predict(model, ["Qual è la penale?"] * len(empty + full), empty + full)
+    assert got[: len(empty)] == ["empty"] * len(empty)
+    assert "empty" not in got[len(empty) :]
+    assert pairs.no_text("\xa0. ") and not pairs.no_text("12")
 
 
 def test_defects_of_pairs(model):
@@ -328,13 +335,20 @@ def test_defects_of_pairs(model):
     assert right >= len(cases) - 1, list(zip(got, cases))
 
 
-def test_held_out_synthetic_defects(model, spark, data):
-    rows = spark.read.parquet(f"{data}/query_logs.parquet").where("query is not null and answer is not null").orderBy(F.desc("log_id")).limit(400).collect()
-    base = [(r["query"], r["answer"], "it") for r in rows if pairs._usable(r["answer"]) and " il " in r["answer"] + r["query"]]
-    made = [m for m in pairs.synthetic(base, 77) if m[2] in (0, 1, 2, 4)]
-    got = pairs.predict(model, [m[0] for m in made], [m[1] for m in made])
-    right = np.mean([(g is None or g == "empty") if m[2] == 0 else g == pairs.LABELS[m[2].bit_length() - 1] for g, m in zip(got, made)])
-    assert right > 0.85
+def test_held_out_defects(fitted):
+    """Rows of other pairs, and refusals in other wordings, than those learnt from; every label counts."""
+    report = fitted[1]
+    assert set(report) == set(pairs.LABELS)
+    assert all(p > 0.85 and r > 0.8 for p, r in report.values()), report
+
+
+def test_split_keeps_sources_and_wordings_apart():
+    made = pairs.synthetic([(f"Qual è la penale numero {i} per il portale?", "Il perito esegue il controllo dell'impianto. La ditta invia il conto.", "it") for i in range(60)], 3)
+    train, held = pairs.split(made)
+    assert not (train & held).any() and train.any() and held.any()
+    for k in (3, 4):
+        seen, unseen = {m[k] for m, t in zip(made, train) if t}, {m[k] for m, h in zip(made, held) if h}
+        assert not (seen & unseen) - {-1}
 
 
 def test_pairs_in_rows(spark, model):
