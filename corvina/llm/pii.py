@@ -6,10 +6,12 @@ character of the result which source characters it stands for. Patterns run over
 normalised text; their spans are mapped back, so finds are cut from the source exactly as
 written and everything else stays untouched.
 
-Names are one or two given names or an initial with a surname, in either order and any case.
-A surname is a word that the corpus does not use in lower case like a common word; the common
-words are counted over all chunks and kept above a fixed share of them, so their number is
-bounded. Spans inside an e-mail or an address are no finds of their own.
+Names are one or two given names or an initial with a surname, in either order and any case,
+and two unknown capitalised words after a title. A surname is a word that the corpus does not
+use in lower case like a common word. Given names are a seed list and what the corpus shows to
+be one: a word that is never common and mostly stands before words that follow known given
+names (``learnt_given``). Both are counted over all chunks. Spans inside an e-mail or an
+address are no finds of their own.
 
 Null, empty and blank texts give no finds and stay as they are. A field's equal finds are one
 row; a log_id that was delivered twice is one row. Texts of any length are read whole.
@@ -21,11 +23,12 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvina.session import table
+from corvina.session import table, written
 
 KINDS = ("email", "phone", "identity", "address", "name")
 #: Given names (fixed values: Italian, English, French, German and Spanish ones in common use).
@@ -50,6 +53,7 @@ WORD = re.compile(rf"[{LETTER}]+")
 INITIAL = re.compile(rf"(?<![\w.@/-])([A-Za-z])\.\s?((?:{PARTICLE})?)([{LETTER}]{{4,}}(?:-[{LETTER}]{{3,}})?)(?![{LETTER}'’@])")
 NEXT_GIVEN = re.compile(rf"\s{{1,2}}([{LETTER}]+)(?![{LETTER}])")
 NEXT_INITIAL = re.compile(r"\s([A-Z]\.)(?=\s)")
+TITLED = re.compile(rf"(?<![\w.])(?:[Ss]igg?\.(?:ra)?|[Ss]ignora?|[Dd]ott\.(?:ssa)?|[Dd]ottoressa|[Aa]vv\.|[Ii]ng\.|[Gg]eom\.|[Rr]ag\.|[Pp]rof\.(?:ssa)?|Mr\.?|Mrs\.?|Ms\.?|Miss|Dr\.?)\s([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{{2,}})\s((?:{PARTICLE})?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{{2,}}(?:-[{LETTER}]{{3,}})?)(?![{LETTER}'’@])")
 #: Words before a name that are titles or functions and never its surname (fixed values).
 NO_SURNAME = frozenset("sig sigg signor signora signore dott dottor dottoressa avv ing geom rag prof mr mrs ms miss dr sono chiamo contattare con per dal del alla della name contact call from sir il la lo che non and with the for mister polizza modulo progetto policy module project claim file".split())
 
@@ -161,17 +165,18 @@ def _end(at: Sequence[int], text: str, end: int) -> int:
     return stop
 
 
-def finds(text: str, common: frozenset | set) -> list[tuple[int, int, str]]:
+def finds(text: str, common: frozenset | set, given_names: frozenset = GIVEN) -> list[tuple[int, int, str]]:
     """(start, end, kind) in ``text``, in order and apart."""
     norm, at = _normalised(text)
     lower = norm.lower()
     words = set(WORD.findall(lower))
     digit = re.search(r"\d", norm) is not None
-    given = not GIVEN.isdisjoint(words)
+    given = not given_names.isdisjoint(words)
+    titled = TITLED.search(norm) is not None
     initial = INITIAL.search(norm) is not None
     street = digit and (not STREET_WORDS.isdisjoint(words) or any(s in lower for s in STREET_SHORT))
     street_en = digit and not STREET_EN_WORDS.isdisjoint(words)
-    if not ("@" in norm or given or initial or digit):
+    if not ("@" in norm or given or initial or digit or titled):
         return []
     taken: list[tuple[int, int, str]] = []
 
@@ -202,17 +207,17 @@ def finds(text: str, common: frozenset | set) -> list[tuple[int, int, str]]:
         n = sum(c.isdigit() for c in s)
         if 8 <= n <= 14 and not DATE.match(s) and free(*m.span()) and not (CODE_BEFORE.search(norm[max(0, m.start() - 14) : m.start()]) and s.isdigit() and n < 9):
             taken.append((*m.span(), "phone"))
-    for a, b in names(norm, common) if given or initial else ():
+    for a, b in names(norm, common, given_names) if given or initial or titled else ():
         if free(a, b):
             taken.append((a, b, "name"))
     return sorted((at[a], _end(at, text, b), k) for a, b, k in taken)
 
 
-def _surname(word: str, like: str, common: set) -> bool:
+def _surname(word: str, like: str, common: set, given: frozenset = GIVEN) -> bool:
     """Whether a word may be a surname beside a given name written like ``like``."""
     parts = word.split("-")
     w = parts[0].lower()
-    if len(w) < 3 or w in NO_SURNAME or w in GIVEN or w in common and all(p.lower() in common for p in parts):
+    if len(w) < 3 or w in NO_SURNAME or w in given or w in common and all(p.lower() in common for p in parts):
         return False
     if like.isupper() and len(like) > 1:
         return word.isupper()
@@ -221,18 +226,18 @@ def _surname(word: str, like: str, common: set) -> bool:
     return word.islower()
 
 
-def names(text: str, common: set) -> list[tuple[int, int]]:
+def names(text: str, common: set, given: frozenset = GIVEN) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     done = 0
     for m in WORD.finditer(text):
-        if m.start() < done or m.group().lower() not in GIVEN:
+        if m.start() < done or m.group().lower() not in given:
             continue
         if m.end() < len(text) and text[m.end()] in "'’-@_" or m.start() and text[m.start() - 1] in "'’-@_.":
             continue
         start, end = m.span()
         while True:
             g = NEXT_GIVEN.match(text, end)
-            if g and g.group(1).lower() in GIVEN and (g.group(1)[:1].isupper() == m.group()[:1].isupper()):
+            if g and g.group(1).lower() in given and (g.group(1)[:1].isupper() == m.group()[:1].isupper()):
                 end = g.end(1)
                 continue
             g = NEXT_INITIAL.match(text, end)
@@ -241,14 +246,14 @@ def names(text: str, common: set) -> list[tuple[int, int]]:
                 continue
             break
         right = SURNAME_RIGHT.match(text, end)
-        if right and not _surname(right.group(2), m.group(), common) and right.group(1):
+        if right and not _surname(right.group(2), m.group(), common, given) and right.group(1):
             right = None
-        if right and _surname(right.group(2), m.group(), common):
+        if right and _surname(right.group(2), m.group(), common, given):
             # An initial before the given name belongs to it.
             out.append((start, right.end(2)))
         else:
             left = SURNAME_LEFT.search(text[max(0, start - 50) : start])
-            if left and _surname(left.group(2), m.group(), common):
+            if left and _surname(left.group(2), m.group(), common, given):
                 base = max(0, start - 50)
                 begin = left.start(1) if left.group(1) and _particle_ok(left.group(1), m.group()) else left.start(2)
                 if not (out and base + begin < out[-1][1]):
@@ -260,10 +265,14 @@ def names(text: str, common: set) -> list[tuple[int, int]]:
             continue
         if m.group(1).isupper() and not surname[:1].isupper():
             continue
-        if surname.lower() in common or surname.lower() in NO_SURNAME or surname.lower() in GIVEN:
+        if surname.lower() in common or surname.lower() in NO_SURNAME or surname.lower() in given:
             continue
         if all(m.end() <= a or m.start() >= b for a, b in out):
             out.append((m.start(), m.end(3)))
+    for m in TITLED.finditer(text):
+        words = [w.lower() for w in WORD.findall(m.group(2))][-1:] + [m.group(1).lower()]
+        if all(m.end() <= a or m.start(1) >= b for a, b in out) and not any(w in common or w in NO_SURNAME for w in words):
+            out.append((m.start(1), m.end(2)))
     return sorted(out)
 
 
@@ -275,11 +284,11 @@ def _particle_ok(particle: str, like: str) -> bool:
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
 
-def redact(text: str | None, common: set) -> str | None:
+def redact(text: str | None, common: set, given: frozenset = GIVEN) -> str | None:
     if not text:
         return text
     out, last = [], 0
-    for a, b, k in finds(text, common):
+    for a, b, k in finds(text, common, given):
         out += [text[last:a], PLACEHOLDER[k]]
         last = b
     out.append(text[last:])
@@ -288,17 +297,30 @@ def redact(text: str | None, common: set) -> str | None:
 
 # --- Spark ----------------------------------------------------------------------------------
 
-#: A common word makes up at least this share of all words, so there are at most a million.
-LEAST_SHARE = 1e-6
+#: Common words that are sent to every task; of more, only those that stand beside a name in some text.
+MOST_COMMON = 2_000_000
+#: A common word is seen at least so often, and a learnt given name before so many surnames.
+LEAST_SEEN, LEAST_SURNAMES = 3, 2
 
 
-def common_words(texts: DataFrame, text_col: str = "text") -> frozenset[str]:
-    """Words that texts write in lower case at least as often as with a capital."""
+@dataclass(frozen=True)
+class Lexicon:
+    common: frozenset[str]
+    given: frozenset[str]
+
+
+def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, next, low, high): how often texts write a word in lower case and with a capital.
+
+    Where ``next`` is not null: how often the capitalised word stands before that capitalised word.
+    """
     token = re.compile(rf"(?<![\w.@+-])[{LETTER}]{{3,}}(?![\w@+]|[._-]\w)")  # not inside addresses
+    pair = re.compile(r"(?<![\w.@'’-])([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{2,}) (?=([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{2,})(?![\w@'’]))")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low: Counter[str] = Counter()
         high: Counter[str] = Counter()
+        pairs: Counter[tuple[str, str]] = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
@@ -307,15 +329,77 @@ def common_words(texts: DataFrame, text_col: str = "text") -> frozenset[str]:
                             low[w] += n
                         else:
                             high[w.lower()] += n
+                    for x, y in pair.findall(t):
+                        pairs[x.lower(), y.lower()] += 1
         keys = list(low.keys() | high.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([low[k] for k in keys], pa.int64()), pa.array([high[k] for k in keys], pa.int64())], names=["word", "low", "high"])
+        words = [*keys, *(x for x, _ in pairs)]
+        after = [*[None] * len(keys), *(y for _, y in pairs)]
+        lows = [*(low[k] for k in keys), *[0] * len(pairs)]
+        highs = [*(high[k] for k in keys), *pairs.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(after, pa.string()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["word", "next", "low", "high"])
+
+    counted = texts.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, next string, low bigint, high bigint")
+    return counted.groupBy("word", "next").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+
+
+def learnt_given(counted: DataFrame, common: DataFrame) -> DataFrame:
+    """(word): given names that the seed list lacks, by the company they keep.
+
+    A surname follows a known given name and is not common. A word is a given name if at least
+    ``LEAST_SURNAMES`` different surnames follow it, if it stands before words that are not common
+    more often than after known given names (where second given names stand too, but surnames
+    mostly), and if it is not common itself.
+    """
+    seeds = sorted(GIVEN)
+    follows = counted.where("next is not null").join(common.select(F.col("word").alias("next")), "next", "left_anti")
+    after = follows.where(F.col("word").isin(seeds) & ~F.col("next").isin(seeds)).groupBy(F.col("next").alias("name")).agg(F.sum("high").alias("after"))
+    before = follows.where(~F.col("word").isin(seeds)).join(after.select(F.col("name").alias("next"), F.lit(1).alias("surname")), "next", "left")
+    before = before.groupBy("word").agg(F.count("surname").alias("surnames"), F.sum("high").alias("times")).where(F.col("surnames") >= LEAST_SURNAMES)
+    found = before.join(common, "word", "left_anti").join(after.withColumnRenamed("name", "word"), "word", "left")
+    return found.where(F.col("times") > F.coalesce("after", F.lit(0))).select("word")
+
+
+def lexicon(texts: DataFrame, fields: DataFrame | None = None, most: int = MOST_COMMON) -> Lexicon:
+    """Common words and given names of ``texts``.
+
+    A common word is written in lower case at least ``LEAST_SEEN`` times and as often as with a
+    capital. If there are more than ``most``, those that stand beside a name in ``fields``, whose
+    finds they are to decide, are looked up first, and no others are collected.
+    """
+    counted = written(word_counts(texts))
+    common = counted.where("next is null").where((F.col("low") >= LEAST_SEEN) & (F.col("low") >= F.col("high"))).select("word")
+    given = frozenset(r["word"] for r in learnt_given(counted, common).collect()) | GIVEN
+    if fields is not None and common.count() > most:
+        common = common.join(asked_words(fields, given), "word", "left_semi")
+    return Lexicon(frozenset(r["word"] for r in common.collect()), given)
+
+
+class _Asked(set):
+    """Notes the words that are looked up in it; all are in it, or none."""
+
+    def __init__(self, answer: bool):
+        super().__init__()
+        self.answer = answer
 
-    counted = texts.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, low bigint, high bigint")
-    counted = counted.groupBy("word").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).persist()
-    total = counted.agg(F.coalesce(F.sum(F.col("low") + F.col("high")), F.lit(0))).first()[0]
-    words = counted.where((F.col("low") >= F.greatest(F.lit(3.0), F.lit(LEAST_SHARE * total))) & (F.col("low") >= F.col("high"))).select("word").collect()
-    counted.unpersist()
-    return frozenset(r["word"] for r in words)
+    def __contains__(self, word: object) -> bool:
+        self.add(word)
+        return self.answer
+
+
+def asked_words(fields: DataFrame, given: frozenset[str]) -> DataFrame:
+    """(word): the words whose being common decides about a name in some text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: set[str] = set()
+            for t in b.column(0).to_pylist():
+                for answer in (True, False):
+                    asked = _Asked(answer)
+                    finds(t, asked, given)
+                    seen.update(asked)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["word"])
+
+    return fields.select("text").mapInArrow(run, "word string").distinct()
 
 
 def _fields(chunks: DataFrame, logs: DataFrame) -> DataFrame:
@@ -326,16 +410,16 @@ def _fields(chunks: DataFrame, logs: DataFrame) -> DataFrame:
     return out.where("length(text) > 0")
 
 
-def pii_finds(fields: DataFrame, common: frozenset[str]) -> DataFrame:
+def pii_finds(fields: DataFrame, words: Lexicon) -> DataFrame:
     """(table_name, row_id, field_name, pii_kind, found_text), each once."""
-    shared = fields.sparkSession.sparkContext.broadcast(common)
+    shared = fields.sparkSession.sparkContext.broadcast(words)  # at most MOST_COMMON words, or those beside names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        common, given = shared.value.common, shared.value.given
         for b in batches:
             at, kinds, texts = [], [], []
             for i, t in enumerate(b.column(3).to_pylist()):
-                for s, e, k in finds(t, words):
+                for s, e, k in finds(t, common, given):
                     at.append(i), kinds.append(k), texts.append(t[s:e])
             pick = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pick) for c in range(3)), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=["table_name", "row_id", "field_name", "pii_kind", "found_text"])
@@ -343,27 +427,31 @@ def pii_finds(fields: DataFrame, common: frozenset[str]) -> DataFrame:
     return fields.mapInArrow(run, "table_name string, row_id bigint, field_name string, pii_kind string, found_text string").distinct()
 
 
-def redacted(fields: DataFrame, common: frozenset[str]) -> DataFrame:
+def redacted(fields: DataFrame, words: Lexicon) -> DataFrame:
     """(table_name, row_id, field_name, text) with typed placeholders."""
-    shared = fields.sparkSession.sparkContext.broadcast(common)
+    shared = fields.sparkSession.sparkContext.broadcast(words)  # at most MOST_COMMON words, or those beside names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        common, given = shared.value.common, shared.value.given
         for b in batches:
-            texts = [redact(t, words) for t in b.column(3).to_pylist()]
+            texts = [redact(t, common, given) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(texts, pa.string())], names=["table_name", "row_id", "field_name", "text"])
 
     return fields.mapInArrow(run, "table_name string, row_id bigint, field_name string, text string")
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Lexicon]:
     chunks = table(spark, sf_dir, "chunks")
-    return pii_finds(_fields(chunks, table(spark, sf_dir, "query_logs")), common_words(chunks))
+    fields = _fields(chunks, table(spark, sf_dir, "query_logs"))
+    return fields, lexicon(chunks, fields)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_finds(*_inputs(spark, sf_dir))
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunks")
-    return redacted(_fields(chunks, table(spark, sf_dir, "query_logs")), common_words(chunks))
+    return redacted(*_inputs(spark, sf_dir))
 
 
 QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted}

@@ -429,9 +429,26 @@ def test_redaction_leaves_the_rest(spark):
 def test_finds_in_rows(spark):
     chunks = spark.createDataFrame([(1, "a x@example.com x@example.com", 0), (2, None, 0)], "chunk_id long, text string, found_text int")
     logs = spark.createDataFrame([(7, "chiamare 06-095.7666", None), (7, "chiamare 06-095.7666", None)], "log_id long, query string, answer string")
-    rows = {tuple(r) for r in pii.pii_finds(pii._fields(chunks, logs), pii.common_words(chunks)).collect()}
+    rows = {tuple(r) for r in pii.pii_finds(pii._fields(chunks, logs), pii.lexicon(chunks)).collect()}
     assert rows == {("chunks", 1, "text", "email", "x@example.com"), ("query_logs", 7, "query", "phone", "06-095.7666")}
-    assert pii.pii_finds(pii._fields(chunks.limit(0), logs.limit(0)), frozenset()).count() == 0
+    assert pii.pii_finds(pii._fields(chunks.limit(0), logs.limit(0)), pii.lexicon(chunks.limit(0))).count() == 0
+
+
+def test_given_names_are_learnt(spark):
+    """A given name that no list has is known by the surnames after it; companies before surnames are not."""
+    texts = [f"{g} {n} ha chiamato. " for g in ("Mario", "Anna", "Ezechiele") for n in ("Brambilla", "Rossetti", "Ferlenzi")]
+    texts += ["Edilcasa Brambilla ha chiuso. Edilcasa ha riaperto. Edilcasa Nord ha vinto. Edilcasa paga."] * 2 + ["il perito ha chiamato e ha chiuso la pratica, paga chi ha vinto e chi ha riaperto"] * 3
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id long, text string")
+    words = pii.lexicon(chunks)
+    assert "ezechiele" in words.given and "edilcasa" not in words.given and "brambilla" not in words.given
+    find = lambda t: [t[a:b] for a, b, k in pii.finds(t, words.common, words.given) if k == "name"]
+    assert find("Oggi Ezechiele Sconosciuti ha vinto") == ["Ezechiele Sconosciuti"]
+    assert find("La signora Priya Sharma ha chiamato, e Mr. Kofi Mensah-Boateng paga") == ["Priya Sharma", "Kofi Mensah-Boateng"]
+    fields = chunks.select(F.lit("chunks").alias("table_name"), F.col("chunk_id").alias("row_id"), F.lit("text").alias("field_name"), "text")
+    few = pii.lexicon(chunks, fields, most=0)
+    assert few.common < words.common and few.given == words.given
+    rows = lambda w: {tuple(r) for r in pii.pii_finds(fields, w).collect()}
+    assert rows(few) == rows(words) != set()
 
 
 def test_normalised_places_point_at_the_source():
