@@ -1,12 +1,15 @@
 """Repair of text from scanned pages: page furniture, line-end hyphens and misread words.
 
 1. Documents whose lines are wrapped are scans (``ocr_used`` is a hint only).
-2. The vocabulary is counted over all other documents. Words of scans that it lacks are looked
+2. The vocabulary is every word of all other documents. Words of scans that it lacks are looked
    up by intersecting a Levenshtein automaton that also knows merges and splits of two letters
-   (one step each) with a trie of the vocabulary, so no candidate within reach is missed.
-   Vocabulary and words are split by hash and meet block by block.
+   with tries of the vocabulary. Within reach is what one step of any kind, or two steps that
+   scanners are known for (``CONFUSED``), make of a word; every such candidate is found.
+   Tries hold the words of one length and one beginning or ending. A step leaves the beginning
+   or the ending of a word whole, so a form only visits the tries its automaton can reach.
 3. Candidates are ranked by the cost of their edits, how often the word follows its
-   neighbour in the corpus, and frequency.
+   neighbour in the corpus, and frequency. A candidate that takes an edit that no scanner is
+   known for must be borne out by its neighbour and its frequency, and by the form being rare.
 4. Lines at the edges of pages that carry page numbers, or repeat on other pages of their
    document or at page edges of other documents, are furniture. The rest is joined to
    paragraphs, broken words are closed and misread words replaced.
@@ -23,7 +26,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvina.session import table, written
 
@@ -37,10 +41,11 @@ COST = {pair: 0.2 for pair in CONFUSED}
 PLAIN_COST = 1.0
 SYMBOLS = set("@†!(0512346789ﬁﬂ$|¢")
 NUMBER_LIKE = re.compile(r"^[\W\d_]*$|^\W*(?:[A-Z]{1,4}[-/.]?)?\d[\d\W]*(?:[A-Za-z]{0,3}|bis|ter)?\W*$|.*@.+\..+|.*(?:www\.|https?:|\.(?:example|it|com|org|pdf|docx|md|html))|^\W*\d+(?:st|nd|rd|th|h|°|ª|º|€)\W*$|^\W*[A-Z0-9/.-]*\d[A-Z0-9/.-]*\W*$")
-PAGE = re.compile(r"^(?:pag|pagina|page|p|s|seite|página)?\.?\s*#(?:\s*(?:/|di|of|de|von)\s*#)?$|^[-–—]\s*#\s*[-–—]$")
+#: Words of page numbers (fixed values).
+PAGE_WORDS, OF_WORDS = ("pag", "pagina", "page", "p", "s", "seite", "página"), ("di", "of", "de", "von")
+#: Marks of an edition or form in a header, before its number (fixed values).
+EDITION_WORDS = ("ed", "ediz", "edizione", "edition", "rev", "vers", "mod")
 ROMAN = re.compile(r"^[IVX]{1,5}$")
-TAIL_PAGE = re.compile(r"\s{2,}(?:(?:pag|pagina|page|p)\.?\s*)?(?:#(?:\s*(?:/|di|of)\s*#)?|[-–—]\s*#\s*[-–—]|[IVX]{1,5})$", re.I)
-EDITION = re.compile(r"[-–—]\s*e(?:d|cl)\.\s*#", re.I)
 END = tuple(".!?…:;»”\"")
 PART = re.compile(r"['’‘]")
 EDGE = ".,;:»«\"“”…)]}[{*_"
@@ -53,68 +58,107 @@ def read_cost(read: str, meant: str) -> float:
 # --- the automaton and the trie -------------------------------------------------------------
 
 
+#: States of the automaton by the steps taken: none, one known confusion, one other, two known confusions.
+NONE, ONE, OTHER, TWO = range(4)
+STEPS = (0, 1, 1, 2)
+LEFT = (2, 1, 0, 0)
+#: Letters of a beginning or ending that a trie is kept for; words are longer than two of them.
+WINDOW = 4
+
+
 def build_trie(words: list[str]) -> dict:
     root: dict = {}
     for w in words:
-        node = root
-        for ch in w:
-            node = node.setdefault(ch, {})
-        node[""] = w
+        add_word(root, w)
     return root
 
 
-def lookup(word: str, trie: dict, most: int = 1) -> list[tuple[str, int, float]]:
-    """(candidate, steps, cost) of every word of the trie within ``most`` steps.
+def add_word(root: dict, word: str) -> None:
+    node = root
+    for ch in word:
+        node = node.setdefault(ch, {})
+    node[""] = word
+
 
-    A step replaces, inserts or drops a letter, or reads one letter as two or two as one.
-    The states of the automaton are the positions in ``word`` with the steps taken so far;
-    branches of the trie that no state survives are not entered.
+def lookup(word: str, trie: dict, length: int | None = None) -> list[tuple[str, int, float]]:
+    """(candidate, steps, cost) of every word of the trie within reach.
+
+    A step replaces, inserts or drops a letter, or reads one letter as two or two as one. One step
+    of any kind is within reach, and two that are in ``CONFUSED``. The states of the automaton are
+    the positions in ``word`` with the steps taken so far; branches of the trie that no state
+    survives are not entered. ``length``: of all words of the trie, if they have the same.
     """
     n = len(word)
     found: list[tuple[str, int, float]] = []
 
-    def closed(states: dict[tuple[int, int], float]) -> dict[tuple[int, int], float]:
-        # Letters of the word that nothing in the candidate stands for.
-        for e in range(most):
-            for (i, k), c in [x for x in states.items() if x[0][1] == e]:
-                if i < n and c + PLAIN_COST < states.get((i + 1, k + 1), math.inf):
-                    states[i + 1, k + 1] = c + PLAIN_COST
-        return states
+    def step(state: int, cost: float) -> int | None:
+        if state == NONE:
+            return ONE if cost < PLAIN_COST else OTHER
+        return TWO if state == ONE and cost < PLAIN_COST else None
 
-    def walk(node: dict, states: dict, earlier: dict, letter: str) -> None:
+    def walk(node: dict, depth: int, states: dict, earlier: dict, letter: str) -> None:
         if "" in node:
-            ends = [(k, c) for (i, k), c in states.items() if i == n]
+            ends = [(c, k) for (i, k), c in states.items() if i == n] + [(PLAIN_COST, OTHER) for (i, k) in states if i == n - 1 and k == NONE]
             if ends:
-                k, c = min(ends, key=lambda x: (x[1], x[0]))
-                found.append((node[""], k, c))
+                c, k = min(ends)
+                found.append((node[""], STEPS[k], c))
         for ch, child in node.items():
             if not ch:
                 continue
             new: dict[tuple[int, int], float] = {}
 
-            def put(i: int, k: int, c: float) -> None:
-                if c < new.get((i, k), math.inf):
+            def put(i: int, k: int | None, c: float) -> None:
+                if k is not None and c < new.get((i, k), math.inf) and (length is None or abs(length - depth - 1 - n + i) <= LEFT[k]):
                     new[i, k] = c
 
             for (i, k), c in states.items():
                 if i < n and word[i] == ch:
                     put(i + 1, k, c)
-                if k < most:
-                    put(i, k + 1, c + PLAIN_COST)
+                if k in (NONE, ONE):
+                    if k == NONE:
+                        put(i, OTHER, c + PLAIN_COST)  # a letter that the form lacks
+                        if i + 1 < n and word[i + 1] == ch:
+                            put(i + 2, OTHER, c + PLAIN_COST)  # one that it has too much
                     if i < n and word[i] != ch:
-                        put(i + 1, k + 1, c + read_cost(word[i], ch))
-                    if i + 1 < n and (x := COST.get((word[i : i + 2], ch))) is not None:
-                        put(i + 2, k + 1, c + x)
+                        x = read_cost(word[i], ch)
+                        put(i + 1, step(k, x), c + x)
+                    if i + 1 < n:
+                        x = read_cost(word[i : i + 2], ch)
+                        put(i + 2, step(k, x), c + x)
             for (i, k), c in earlier.items():
-                if k < most and i < n and (x := COST.get((word[i], letter + ch))) is not None:
-                    put(i + 1, k + 1, c + x)
+                if k in (NONE, ONE) and i < n:
+                    x = read_cost(word[i], letter + ch)
+                    put(i + 1, step(k, x), c + x)
             if new:
-                walk(child, closed(new), states, ch)
+                walk(child, depth + 1, new, states, ch)
 
-    walk(trie, closed({(0, 0): 0.0}), {}, "")
+    walk(trie, 0, {(0, NONE): 0.0}, {}, "")
     return found
 
 
+def window(length: int) -> int:
+    return min(WINDOW, (length - 1) // 2)
+
+
+def form_keys(form: str) -> set[str]:
+    """The keys of all tries that hold candidates of a form (those of words: ``word_keys``).
+
+    The beginning and the ending of a word are apart by at least a letter, so no step touches
+    both: one step leaves one of them whole. Of two, either one touches the beginning, or none
+    touches the ending.
+    """
+    n, out = len(form), set()
+    for m in range(max(1, n - 2), n + 3):
+        h = window(m)
+        if h <= n:
+            out |= {f"<{m}:{form[:h]}", f">{m}:{form[n - h :]}" if h else f"<{m}:"}
+        for i in range(min(n, h + 2)):
+            for read, meant in CONFUSED:
+                if form.startswith(read, i):
+                    out.add(f"<{m}:{(form[:i] + meant + form[i + len(read) :])[:h]}")
+    return out
+
+
 # --- words of a page ------------------------------------------------------------------------
 
 
@@ -208,8 +252,8 @@ def wanted_forms(text: str) -> dict[str, bool]:
 FOLDS = (("ü", "ti"), ("ﬁ", "fi"), ("@", "a"), ("†", "t"), ("0", "o"), ("!", "i"), ("(", "c"), ("5", "s"), ("1", "l"), ("9", "g"), ("6", "b"), ("2", "z"), ("e", "c"), ("y", "v"), ("cl", "d"), ("rn", "m"), ("ri", "n"), ("in", "m"), ("ii", "u"), ("li", "h"))
 
 
-def skeleton(line: str) -> str:
-    """A line as it looks: numbers as #, letters that are taken for each other alike."""
+def looks(line: str) -> str:
+    """A line as it looks: digits as #, letters that are taken for each other alike."""
 
     def fold(m: re.Match) -> str:
         p = m.group().lower()
@@ -221,29 +265,26 @@ def skeleton(line: str) -> str:
             p = p.replace(a, b)
         return p
 
-    out = re.sub(r"[^\s.,:;/–—-]+", fold, " ".join(line.split(" ")).strip())
-    return re.sub(r"#(?:[.,:/-]#)*", "#", out)
+    return re.sub(r"[^\s.,:;/–—-]+", fold, line.strip())
 
 
-def plain(line: str) -> str:
-    """A line with numbers as # and misread marks as letters, to be held against page patterns."""
+def skeleton(line: str) -> str:
+    """A line as it looks, its numbers as # each."""
+    return re.sub(r"#(?:[.,:/-]#)*", "#", looks(line))
 
-    def fold(m: re.Match) -> str:
-        p = m.group()
-        if p.isdigit():
-            return "#"
-        letters = sum(c.isalpha() or c in "@†!" for c in p)
-        if letters and letters >= sum(c.isdigit() for c in p):
-            for a, b in (("@", "a"), ("†", "t"), ("0", "o"), ("!", "i"), ("(", "c"), ("5", "s"), ("1", "l"), ("9", "g"), ("6", "b")):
-                p = p.replace(a, b)
-        p = p.replace("pagma", "pagina").replace("pagc", "page").replace("pagiria", "pagina")
-        return re.sub(r"\d+", "#", p)
 
-    return re.sub(r"[^\s.,:;/–—-]+", fold, line.strip())
+def _alike(words: tuple[str, ...]) -> str:
+    return "|".join(sorted({looks(w) for w in words}, key=len, reverse=True))
+
+
+#: Page numbers and editions as they look: misread ones look alike.
+PAGE = re.compile(rf"^(?:{_alike(PAGE_WORDS)})?\.?\s*#(?:\s*(?:/|{_alike(OF_WORDS)})\s*#)?$|^[-–—]\s*#\s*[-–—]$")
+TAIL_PAGE = re.compile(rf"\s{{2,}}(?:(?:{_alike(PAGE_WORDS)})\.?\s*)?(?:#(?:\s*(?:/|{_alike(OF_WORDS)})\s*#)?|[-–—]\s*#\s*[-–—]|[ivx]{{1,5}})$")
+EDITION = re.compile(rf"[-–—]\s*(?:{_alike(EDITION_WORDS)})\.?\s*#")
 
 
 def is_page_number(line: str) -> bool:
-    return bool(PAGE.match(plain(line).lower())) or bool(ROMAN.match(line.strip()))
+    return bool(PAGE.match(looks(line))) or bool(ROMAN.match(line.strip()))
 
 
 def core(line: str) -> str:
@@ -280,7 +321,7 @@ def edges(lines: list[str]) -> tuple[list[int], list[int]]:
 def looks_final(lines: list[str], i: int) -> bool:
     """Whether a paragraph that ends in this line may end its page: the line is no sentence but ends a block that has one."""
     s = lines[i].rstrip()
-    if s.endswith(END) and not PAGE.match(plain(s).lower()):
+    if s.endswith(END) and not PAGE.match(looks(s)):
         return False
     if i == 0 or not lines[i - 1].strip():
         return False
@@ -317,7 +358,7 @@ def furniture(text: str, page: int | None, heads: set[str], corpus: set[str]) ->
             if s.isdigit() and (len(s) > 3 or in_table(lines, b) and (page is None or int(s) not in (page, page + 1))):
                 continue
             out.add(b)
-        elif skeleton(s) in corpus and (not s.endswith(END)) and not s[:1].islower() or s.lower().startswith("www") or "S.p.A. - Mod" in s:
+        elif skeleton(s) in corpus and (not s.endswith(END)) and not s[:1].islower() or s.lower().startswith("www"):
             out.add(b)
         elif b and (skeleton(s) in corpus or core(s) in heads) and not s.endswith(END):
             out.add(b)
@@ -330,9 +371,9 @@ def furniture(text: str, page: int | None, heads: set[str], corpus: set[str]) ->
                 continue
             out.add(t)
             continue
-        p = plain(s)
+        p = looks(s)
         below = lines[t + 1].strip() if t + 1 < len(lines) else ""
-        if len(s) <= 90 and (TAIL_PAGE.search(p) or EDITION.search(p)):
+        if TAIL_PAGE.search(p) or EDITION.search(p):
             out.add(t)
             continue
         if len(s) > 90 or s.endswith((".", ",", ";", "!", "?")) or s[-1] in HYPHENS or FIGURES.match(s) or below[:1].islower():
@@ -451,18 +492,16 @@ def _bad(token: str, known: set[str], fixes: dict[str, str]) -> bool:
             if any(_bad(x, known, fixes) for x in f.split("-")):
                 return True
             continue
-        if len(f) > 3 and "†" in f or len(f) > 3 and any(c in "@!(" for c in f[1:-1]) and "@" != f[0] and f.count("@") < 2 and "." not in f:
-            return True
-        if len(f) > 3 and re.fullmatch(r"[^\W\d_]+\d[^\W\d_]+|\d[^\W\d_]{3,}|[^\W\d_]{3,}\d", f):
-            return True
     return False
 
 
 def fixed(token: str, known: set[str], fixes: dict[str, str]) -> str:
     """A token with its misread words replaced, in their case."""
     out = token
-    for f in forms(token):
-        if f in known:
+    done: list[str] = []
+    # A form with a mark at its edge that may be a letter comes before the same without it.
+    for f in sorted(forms(token), key=len, reverse=True):
+        if f in known or any(f in x for x in done):
             continue
         # A compound that nothing stands for is repaired in its parts.
         for x in [f] if f in fixes else [p for part in f.split("-") for p in forms(part) if p not in known and p in fixes]:
@@ -471,6 +510,7 @@ def fixed(token: str, known: set[str], fixes: dict[str, str]) -> str:
                 old, new = out[at : at + len(x)], fixes[x]
                 new = new.upper() if old.isupper() and len(old) > 1 else new[:1].upper() + new[1:] if old[:1].isupper() else new
                 out = out[:at] + new + out[at + len(x) :]
+                done.append(f)
     return out
 
 
@@ -523,43 +563,87 @@ def scan_pages(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 WORD_SQL = r"[\p{L}]+(?:-[\p{L}]+)*"
 
 
-def vocabulary(chunks: DataFrame, pages: DataFrame, least: int = 3) -> DataFrame:
+def vocabulary(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """(word, n): how often each word occurs in chunks that are not of scans."""
     other = chunks.where("text is not null").join(pages.select("document_id").distinct(), "document_id", "left_anti")
     words = other.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))).alias("word"))
     # Words with a hyphen of their own are few; scans show them too, unbroken in most lines. They count if
     # other documents know all their parts, else a misread one would vouch for itself.
     compounds = pages.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:-[\p{L}]+)+"), F.lit(0))).alias("word"))
-    counted = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+    counted = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     compounds = written(compounds.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     doubtful = compounds.select(F.col("word").alias("compound"), F.explode(F.split("word", "-")).alias("word")).join(counted, "word", "left_anti").select(F.col("compound").alias("word")).distinct()
     counted = counted.unionByName(compounds.join(doubtful, "word", "left_anti"))
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def corrections(unknown: DataFrame, vocab: DataFrame, words_per_block: int = 200_000, forms_per_block: int = 4_000) -> DataFrame:
-    """(form, word, cost, n) for every unknown form and every candidate within reach at the least number of steps.
+def word_keys() -> Column:
+    """The keys of the tries that hold a ``word``: by its length, and its beginning or ending."""
+    m = F.length("word")
+    h = F.least(F.lit(WINDOW), F.floor((m - 1) / 2)).cast("int")
+    first = F.concat(F.lit("<"), m, F.lit(":"), F.substring(F.col("word"), F.lit(1), h))
+    last = F.concat(F.lit(">"), m, F.lit(":"), F.expr(f"right(word, least({WINDOW}, cast(floor((length(word) - 1) / 2) as int)))"))
+    return F.when(h > 0, F.array(first, last)).otherwise(F.array(first))
+
 
-    Both counts of blocks follow the data, so a task holds one trie of bounded size and looks up
-    a bounded number of forms, however large the vocabulary or the scans grow.
+def corrections(unknown: DataFrame, vocab: DataFrame, most: int = 20_000) -> DataFrame:
+    """(form, word, cost, n) for every unknown form and every candidate within reach.
+
+    Words and forms meet by the keys of tries; a key with more than ``most`` words is split by the
+    hash of the word, and its forms visit every part. Forms whose key no word has are dropped
+    before they reach a task. A task builds one trie after the other from rows sorted by key.
     """
-    shards = max(1, math.ceil(vocab.count() / words_per_block))
-    blocks = max(12, math.ceil(unknown.count() / forms_per_block))
-    left = unknown.select("form", F.pmod(F.xxhash64("form"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = vocab.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    words = vocab.select("word", "n", F.explode(word_keys()).alias("key")).withColumn("h", F.xxhash64("word"))
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(x, k) for x in f["form"] for k in form_keys(x)]
+            yield pd.DataFrame(rows, columns=["form", "key"])
+
+    parts = words.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("parts"))
+    forms = unknown.select("form").mapInPandas(keyed, "form string, key string").join(parts, "key")
+    right = forms.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "form", F.lit(0).cast("bigint").alias("n"))
+    left = words.join(parts, "key").select("key", F.pmod("h", "parts").cast("int").alias("part"), F.lit(0).alias("side"), F.col("word").alias("form"), "n")
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        count = dict(zip(b["word"], b["n"]))
-        trie = build_trie(list(count))
-        out = []
-        for form in a["form"]:
-            found = [x for x in lookup(form, trie) if x[2] < PLAIN_COST]
-            if not found and len(form) > 5:
-                found = [x for x in lookup(form, trie, 2) if x[2] < PLAIN_COST]
-            out += [(form, w, c, count[w]) for w, _, c in found]
-        return pd.DataFrame(out, columns=["form", "word", "cost", "n"])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, trie, count = None, {}, {}
+        for b in batches:
+            out: list[tuple] = []
+            for key, part, side, form, n in zip(*(b.column(c).to_pylist() for c in ("key", "part", "side", "form", "n"))):
+                if (key, part) != at:
+                    at, trie, count = (key, part), {}, {}
+                if side == 0:
+                    add_word(trie, form)
+                    count[form] = n
+                elif trie:
+                    length = int(key[1 : key.index(":")])
+                    out += [(form, w, c, count[w]) for w, _, c in lookup(form, trie, length)]
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["form", "word", "cost", "n"])
 
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, "form string, word string, cost double, n bigint")
+    placed = left.unionByName(right).repartition("key", "part").sortWithinPartitions("key", "part", "side")
+    return placed.mapInArrow(meet, "form string, word string, cost double, n bigint").groupBy("form", "word").agg(F.min("cost").alias("cost"), F.max("n").alias("n"))
+
+
+#: Documents that have a word only scans know, and how many times as many as have what is read as it.
+OWN_LEAST, OWN_TIMES = 3, 3
+#: What a candidate with an edit that no scanner is known for has to reach, in logarithms of counts.
+BORNE_OUT = 3.0
+
+
+def same_letters(form: Column, word: Column) -> Column:
+    """Whether two words differ in accents only, which are a way to write, not misread letters."""
+    bare = lambda c: F.translate(c, "àáâäèéêëìíîïòóôöùúûü", "aaaaeeeeiiiioooouuuu")
+    return bare(form) == bare(word)
+
+
+def rank(cost: Column, follows: Column, n: Column) -> Column:
+    return F.least(F.log1p(follows), F.lit(6.0)) + F.log1p(n) * 0.3 - cost * 10
+
+
+def borne_out(cost: Column, follows: Column, n: Column, documents: Column) -> Column:
+    """Whether a candidate stands: by a known confusion, or by its neighbour and frequency against the documents that have the form."""
+    return (cost < PLAIN_COST) | (F.least(F.log1p(follows), F.lit(6.0)) + F.log1p(n) * 0.3 - F.log(documents) * 2 >= BORNE_OUT)
 
 
 def evidence(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -570,7 +654,7 @@ def evidence(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for c, t in zip(f["chunk_id"], f["text"]):
+            for c, d, t in zip(f["chunk_id"], f["document_id"], f["text"]):
                 before = {}
                 for line in page_lines(t):
                     prev = ""
@@ -578,27 +662,34 @@ def evidence(chunks: DataFrame, documents: DataFrame) -> DataFrame:
                         for w in forms(tok):
                             before.setdefault(w, prev)
                             prev = w
-                rows += [(c, w, before.get(w, ""), x) for w, x in wanted_forms(t).items()]
-            yield pd.DataFrame(rows, columns=["chunk_id", "form", "before", "candidates"])
+                rows += [(c, d, w, before.get(w, ""), x) for w, x in wanted_forms(t).items()]
+            yield pd.DataFrame(rows, columns=["chunk_id", "document_id", "form", "before", "candidates"])
 
-    found = written(pages.select("chunk_id", "text").mapInPandas(extract, "chunk_id bigint, form string, before string, candidates boolean"))
+    found = written(pages.select("chunk_id", "document_id", "text").mapInPandas(extract, "chunk_id bigint, document_id bigint, form string, before string, candidates boolean"))
     known = vocab.select(F.col("word").alias("form"), F.lit(True).alias("is_known"))
     marked = found.join(known, "form", "left")
-    unknown = written(marked.where("is_known is null and candidates").select("form").distinct())
+    unknown = written(marked.where("is_known is null and candidates").groupBy("form").agg(F.countDistinct("document_id").alias("documents")))
     cands = written(corrections(unknown, vocab))
-    # Context: how often the candidate follows the word before it.
-    need = marked.where("is_known is null").select("form", "before").distinct().join(cands, "form").where("before <> ''").select(F.concat_ws(" ", "before", "word").alias("pair")).distinct()
+    # Words that only scans have: letters, in several documents, and nothing that a scanner may have misread.
+    own = unknown.where((F.col("documents") >= OWN_LEAST) & F.col("form").rlike(r"^\p{L}+$"))
+    own = written(own.join(cands.where(F.col("cost") < PLAIN_COST).select("form").distinct(), "form", "left_anti").select(F.col("form").alias("word"), F.col("documents").alias("n")))
+    rest = corrections(unknown, own).where("form <> word").join(unknown, "form").where(F.col("n") > OWN_TIMES * F.col("documents")).select("form", "word", "cost", "n")
+    cands = written(cands.unionByName(rest))
+    # Context: how often the candidate follows the word before it; only pairs that are asked for are counted.
+    asked = written(marked.where("is_known is null").join(cands, "form").select("chunk_id", "form", "word", "cost", "n", F.concat_ws(" ", "before", "word").alias("pair")))
+    need = asked.select("pair").distinct()
     toks = F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))
     other = chunks.where("text is not null").join(pages.select("document_id").distinct(), "document_id", "left_anti").select(toks.alias("w"))
     grams = other.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 1)), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).alias("pair"))
-    seen = grams.groupBy("pair").agg(F.count(F.lit(1)).alias("follows")).join(need, "pair", "left_semi")
+    seen = grams.join(need, "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("follows"))
+    follows = F.coalesce("follows", F.lit(0))
     ranked = (
-        marked.where("is_known is null")
-        .join(cands, "form")
-        .withColumn("pair", F.concat_ws(" ", "before", "word"))
-        .join(seen, "pair", "left")
+        asked.join(seen, "pair", "left")
+        .join(unknown, "form")
+        .where(~same_letters(F.col("form"), F.col("word")))
+        .where(borne_out(F.col("cost"), follows, F.col("n"), F.col("documents")))
         .groupBy("chunk_id", "form")
-        .agg(F.max_by("word", F.struct(-F.col("cost") * 10 + F.least(F.log1p(F.coalesce("follows", F.lit(0))), F.lit(6.0)) + F.log1p("n") * 0.3, "word")).alias("fix"))
+        .agg(F.max_by("word", F.struct(rank(F.col("cost"), follows, F.col("n")), "word")).alias("fix"))
     )
     per_chunk = (
         marked.where("is_known").select("chunk_id", "form", F.lit(None).cast("string").alias("fix")).unionByName(ranked)

@@ -222,32 +222,56 @@ def test_very_long_texts_are_compared(spark, monkeypatch):
 # --- 2 --------------------------------------------------------------------------------------
 
 
-def distance(a, b):
-    """Brute force for the automaton: edits with merges and splits of two letters that are taken for each other."""
-    d = np.full((len(a) + 1, len(b) + 1), 99)
-    d[0, 0] = 0
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            if i:
-                d[i, j] = min(d[i, j], d[i - 1, j] + 1)
-            if j:
-                d[i, j] = min(d[i, j], d[i, j - 1] + 1)
-            if i and j:
-                d[i, j] = min(d[i, j], d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j and (a[i - 2 : i], b[j - 1]) in ocr.COST:
-                d[i, j] = min(d[i, j], d[i - 2, j - 1] + 1)
-            if i and j > 1 and (a[i - 1], b[j - 2 : j]) in ocr.COST:
-                d[i, j] = min(d[i, j], d[i - 1, j - 2] + 1)
-    return d[-1, -1]
+def within_reach(form: str, word: str) -> bool:
+    """One step of any kind or two known confusions, by all alignments."""
+    ways: list[list[set]] = [[set() for _ in range(len(word) + 1)] for _ in range(len(form) + 1)]
+    ways[0][0].add((0, 0))
+    for i in range(len(form) + 1):
+        for j in range(len(word) + 1):
+            for confused, other in ways[i][j]:
+                for di, dj in ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2)):
+                    if i + di <= len(form) and j + dj <= len(word):
+                        read, meant = form[i : i + di], word[j : j + dj]
+                        step = (0, 0) if read == meant else (1, 0) if (read, meant) in ocr.COST else (0, 1)
+                        new = (confused + step[0], other + step[1])
+                        if new in ((0, 0), (1, 0), (2, 0), (0, 1)):
+                            ways[i + di][j + dj].add(new)
+    return bool(ways[len(form)][len(word)])
+
+
+WORDS = sorted({"".join(random.Random(n).choice("abcdeilmnrt") for _ in range(2 + n % 9)) for n in range(500)} | set("ordina firma clima turni ditta garanzia contratto polizza modulo consegna".split()))
+READ = ["orclina", "firrna", "d1tta", "tumi", "cl", "a", "abc", "turrii", "garanxia", "garanzja", "conhratto", "poljzza", "modlo", "polizzza", "c0nsegn@", "(0nsegna", "garanziaa", "gwanzia", *WORDS[::25]]
 
 
 def test_automaton_finds_every_candidate():
-    rng = random.Random(2)
-    words = sorted({"".join(rng.choice("abcdeilmnrt") for _ in range(rng.randrange(2, 7))) for _ in range(400)} | {"ordina", "firma", "clima", "turni", "ditta"})
-    trie = ocr.build_trie(words)
-    for query in ("orclina", "firrna", "d1tta", "tumi", "", "cl", "abc", "turrii", *rng.sample(words, 20)):
-        for most in (1, 2):
-            assert {w for w, _, _ in ocr.lookup(query, trie, most)} == {w for w in words if distance(query, w) <= most}, (query, most)
+    trie = ocr.build_trie(WORDS)
+    for form in (*READ, ""):
+        want = {w for w in WORDS if within_reach(form, w)}
+        assert {w for w, _, _ in ocr.lookup(form, trie)} == want, form
+
+
+def test_corrections_are_complete(spark):
+    """Every candidate arrives through the tries that a form visits, hot keys split or not, with edits that no table has too."""
+    vocab = spark.createDataFrame([(w, 5) for w in WORDS], "word string, n long")
+    unknown = spark.createDataFrame([(f,) for f in sorted(set(READ))], "form string")
+    want = {(f, w) for f in READ for w in WORDS if within_reach(f, w)}
+    assert {("garanxia", "garanzia"), ("garanzja", "garanzia"), ("conhratto", "contratto"), ("poljzza", "polizza"), ("c0nsegn@", "consegna")} <= want
+    for most in (20_000, 2):
+        assert {(r.form, r.word) for r in ocr.corrections(unknown, vocab, most).collect()} == want
+    assert ocr.corrections(unknown.limit(0), vocab).count() == 0 and ocr.corrections(unknown, vocab.limit(0)).count() == 0
+
+
+def test_plain_edits_are_repaired(spark):
+    """An edit outside the table of confusions is repaired where neighbours bear it out; accents and repeated unknown words stay."""
+    line = "Il perito controlla la garanzia del contratto e la modalità di consegna. "
+    plain = [(i, 100 + i, 0, line * 4, None, None) for i in range(30)]
+    page = "Il perito controlla la garanxia del\ncontratto e la modalita' di\nconsegna. Il perito Garanxi controlla\nla garanzia del conhratto."
+    schema = "chunk_id long, document_id long, chunk_index int, text string, page_start int, section_title string"
+    chunks = spark.createDataFrame(plain + [(50, 7, 0, page, 2, None)], schema)
+    docs = spark.createDataFrame([(7, True)], "doc_id long, ocr_used boolean")
+    proof = ocr.evidence(chunks, docs)
+    assert [(r.line_no, r.defect) for r in ocr.line_defects(proof).orderBy("line_no").collect() if r.defect == "misread"] == [(1, "misread"), (4, "misread")]
+    assert "la garanzia del contratto e la modalita' di consegna" in ocr.repaired_texts(proof).first().text
 
 
 PAGE = "Rondine - Allegato 114\nIl perito controlla la pres-\nsione del circuito con strumenti ta-\nrati e conserva le r!cevute in ambito post-\nvendita. La clitta ripara il tubo.\n\n299\n308\n\nIl broker firma la quietanza.\nRev. 8\n2"
