@@ -675,13 +675,14 @@ def evidence(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     own = written(own.join(cands.where(F.col("cost") < PLAIN_COST).select("form").distinct(), "form", "left_anti").select(F.col("form").alias("word"), F.col("documents").alias("n")))
     rest = corrections(unknown, own).where("form <> word").join(unknown, "form").where(F.col("n") > OWN_TIMES * F.col("documents")).select("form", "word", "cost", "n")
     cands = written(cands.unionByName(rest))
-    # Context: how often the candidate follows the word before it; only pairs that are asked for are counted.
+    # Context: how often the candidate follows the word before it.
     asked = written(marked.where("is_known is null").join(cands, "form").select("chunk_id", "form", "word", "cost", "n", F.concat_ws(" ", "before", "word").alias("pair")))
     need = asked.select("pair").distinct()
     toks = F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))
     other = chunks.where("text is not null").join(pages.select("document_id").distinct(), "document_id", "left_anti").select(toks.alias("w"))
     grams = other.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 1)), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).alias("pair"))
-    seen = grams.join(need, "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("follows"))
+    # Tasks count before anything is shuffled, so a frequent pair travels once a task.
+    seen = grams.groupBy("pair").agg(F.count(F.lit(1)).alias("follows")).join(need, "pair", "left_semi")
     follows = F.coalesce("follows", F.lit(0))
     ranked = (
         asked.join(seen, "pair", "left")
