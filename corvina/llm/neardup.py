@@ -3,9 +3,11 @@
 A text is the set of its sequences of ``shingle`` consecutive words. Sets that agree are one
 class, and only classes are compared.
 
-* Sequences are ordered from rare to frequent by counts in a table of fixed size (2**20
+* Sequences are ordered from rare to frequent by counts in a table of fixed size (2**22
   buckets over all rows). Two sets of the wanted similarity must share a sequence among the
-  first ``(1 - threshold)`` part of both, so only these *leading* sequences are posted.
+  first ``(1 - threshold)`` part of both, so only these *leading* sequences are posted. Where
+  the input has so many different sequences that they share buckets, the order is less sharp,
+  not less right; a bucket counts as hot by what it holds more than the middle one.
 * Classes with the same rarest shared sequence form a group of up to 64 similar classes. The
   matrix holds the union of each group's sequences as a bit row.
 * A leading sequence brings groups together. For each class of one and the bit row of the
@@ -14,7 +16,8 @@ class, and only classes are compared.
 * What is left is compared exactly on the texts.
 
 Hot groups and hot sequences are split by salt; copies are merged inside the tasks that read
-them, before anything is shuffled. All bounds are upper bounds, so no link is lost.
+them, before anything is shuffled. All bounds are upper bounds, so no link is lost. Pairs are
+compared block by block: a text travels once for each block of its partners, not for each pair.
 
 Null and empty texts, and texts with fewer than ``least_words`` words or than one sequence,
 take part in nothing. Equal texts under different ids are copies. An empty table gives no rows.
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +37,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corvina.operators.graph import connected_components
 from corvina.session import table, written
 
-BUCKET_BITS, BLOCKS = 20, 64
+BUCKET_BITS, BLOCKS = 22, 64
 SKETCH_BITS = 384
 GROUP = 64
 #: Rows of one group or sequence beyond which it is split.
 HOT = 50_000
-#: Postings that one task compares.
+#: Postings that one task compares, pairs and characters of texts in one block of the last comparison.
 PER_TASK = 1_000_000
+PAIRS_PER_BLOCK, CHARS_PER_BLOCK = 100_000, 64_000_000
 #: Sequences after a leading one are counted up to this many; it stands for any larger number too.
 REST_OPEN = 65_535
 WORDS = re.compile("[^\\W_]+|\x01")
@@ -128,7 +131,7 @@ def _profile(rows: DataFrame, shingle: int, least_words: int) -> DataFrame:
 
 
 def _bucket_counts(profile: DataFrame) -> np.ndarray:
-    """The counts of all tasks added up: 2**20 numbers, whatever the input."""
+    """The counts of all tasks added up: 2**22 numbers, whatever the input."""
 
     def add(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << BUCKET_BITS) // BLOCKS, dtype=np.int64)
@@ -143,6 +146,20 @@ def _bucket_counts(profile: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+class _Counts:
+    """Counts of buckets; how often a sequence is split follows what its bucket has more than the middle one."""
+
+    def __init__(self, freq: np.ndarray):
+        self.freq, self.middle = freq, int(np.median(freq))
+        self.shift = np.uint64(65 - len(freq).bit_length())
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        return self.freq[(s >> self.shift).astype(np.int64)]
+
+    def splits(self, s: np.ndarray, hot: int) -> np.ndarray:
+        return np.maximum(self.of(s).astype(np.int64) - self.middle, 0) // hot + 1
+
+
 def _leading(rows: DataFrame, counts, shingle: int, least_words: int, threshold: float) -> DataFrame:
     """One row per class and task: group key, hash, size, bit row and leading sequences."""
 
@@ -155,7 +172,7 @@ def _leading(rows: DataFrame, counts, shingle: int, least_words: int, threshold:
                 if s is None or (key := set_hash(s)) in seen:
                     continue
                 seen.add(key)
-                f = freq[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                f = freq.of(s)
                 lead = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1
                 order = np.lexsort((s, f))[:lead]
                 # A bucket counted once holds a sequence of this text alone.
@@ -163,18 +180,19 @@ def _leading(rows: DataFrame, counts, shingle: int, least_words: int, threshold:
                 if not len(shared):
                     continue
                 order = order[shared]
-                tokens = (s[order] >> np.uint64(32)).astype(np.uint32)
-                rest = np.minimum(len(s) - 1 - shared, REST_OPEN).astype(np.uint16)
+                tokens = s[order]
+                at = np.zeros(lead, dtype=np.uint8)
+                at[shared] = 1  # which of the leading sequences were kept
                 bits = np.zeros(SKETCH_BITS, dtype=np.uint8)
                 bits[((s & np.uint64(0xFFFFFFFF)) % np.uint64(SKETCH_BITS)).astype(np.int64)] = 1
-                anchor = int(tokens[0])
-                salt = (key[1] & 0xFFFFFFFF) % (int(f[order[0]]) // HOT + 1)
-                out.append((anchor, salt, len(s), key[1], np.packbits(bits).tobytes(), tokens.tobytes(), rest.tobytes()))
+                anchor = int(tokens[0].view(np.int64))
+                salt = (key[1] & 0xFFFFFFFF) % int(freq.splits(tokens[:1], HOT)[0])
+                out.append((anchor, salt, len(s), key[1], np.packbits(bits).tobytes(), tokens.tobytes(), np.packbits(at).tobytes()))
             cols = list(zip(*out)) if out else [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "salt", "n", "lo", "bits", "tokens", "rest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "salt", "n", "lo", "bits", "tokens", "places"])
 
-    return rows.select("text").mapInArrow(run, "anchor bigint, salt int, n int, lo bigint, bits binary, tokens binary, rest binary")
+    return rows.select("text").mapInArrow(run, "anchor bigint, salt int, n int, lo bigint, bits binary, tokens binary, places binary")
 
 
 PACKED = "part int, token binary, holder binary, rest binary, sizes binary, lo binary, n binary, bits binary"
@@ -200,8 +218,9 @@ def _post(leading: DataFrame, counts, parts: int) -> DataFrame:
                 groups[-1].append(i)
             if not groups:
                 continue
-            tokens = [np.frombuffer(x, np.uint32) for x in b.column("tokens").to_pylist()]
-            rests = [np.frombuffer(x, np.uint16) for x in b.column("rest").to_pylist()]
+            tokens = [np.frombuffer(x, np.uint64) for x in b.column("tokens").to_pylist()]
+            places = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))) for x in b.column("places").to_pylist()]
+            rests = [np.minimum(m - 1 - x, REST_OPEN).astype(np.uint16) for m, x in zip(n.tolist(), places)]
             bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8)
             t_all, r_all, g_all = [], [], []
             for g, members in enumerate(groups):
@@ -220,8 +239,8 @@ def _post(leading: DataFrame, counts, parts: int) -> DataFrame:
             first = np.append(0, np.cumsum(size)[:-1])
             member = np.array([i for x in groups for i in x])
             # A hot sequence is split: blocks of groups meet in pairs.
-            blocks = freq[t >> np.uint32(32 - BUCKET_BITS)] // HOT + 1
-            key = t.astype(np.uint64)
+            blocks = freq.splits(t, HOT)
+            key = t
             if (blocks > 1).any():
                 cold = blocks == 1
                 keys, holders, rest = [key[cold]], [g[cold]], [r[cold]]
@@ -229,7 +248,7 @@ def _post(leading: DataFrame, counts, parts: int) -> DataFrame:
                     m = int(blocks[k])
                     own = int(lo[groups[g[k]][0]]) % m
                     for other in range(m):
-                        keys.append(np.array([(int(key[k]) * 1_000_003 + min(own, other) * 8191 + max(own, other) + 1 << 1) & (2**63 - 1)], np.uint64))
+                        keys.append(np.array([(int(key[k]) * 1_000_003 + min(own, other) * 8191 + max(own, other) + 1) & (2**64 - 1)], np.uint64))
                         holders.append(g[k : k + 1]), rest.append(r[k : k + 1])
                 key, g, r = np.concatenate(keys), np.concatenate(holders), np.concatenate(rest)
             part = ((key * MIX[0]) >> np.uint64(33)).astype(np.int64) % parts
@@ -341,32 +360,48 @@ def _ranges(times: np.ndarray) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least_words: int, threshold: float) -> DataFrame:
-    """The pairs (id_a, id_b) whose texts reach the threshold, with their similarity."""
-    needed = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    texts = rows.join(needed, "id", "left_semi")
-    a, b = texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "id_a").join(b, "id_b")
+    """The pairs (lo_a, lo_b) of classes (id_a, lo_a, id_b, lo_b) whose texts reach the threshold, with their similarity.
+
+    Partners b are placed in blocks of bounded size; one with very many pairs is in several.
+    A task keeps the sets of one block and streams the other texts past them, each once a block.
+    """
+    per_b = pairs.groupBy("id_b", "lo_b").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIRS_PER_BLOCK)).cast("int").alias("splits"))
+    chars = rows.select(F.col("id").alias("id_b"), F.length("text").alias("chars")).groupBy("id_b").agg(F.max("chars").alias("chars"))
+    per_b = written(per_b.join(chars, "id_b"))
+    total = per_b.agg(F.coalesce(F.sum(F.col("chars").cast("bigint") * F.col("splits")), F.lit(0)).alias("chars")).first()["chars"]
+    blocks = max(1, math.ceil(total / CHARS_PER_BLOCK), math.ceil(pairs.count() / PAIRS_PER_BLOCK))
+    block = lambda salt: F.pmod(F.xxhash64("lo_b", salt), F.lit(blocks)).cast("int").alias("block")
+    held = per_b.select("id_b", "lo_b", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt")).select(F.col("id_b").alias("id"), F.col("lo_b").alias("lo"), block(F.col("salt"))).distinct()
+    held = held.join(rows, "id").select("block", F.lit(0).alias("side"), "lo", "text", F.lit(None).cast("array<bigint>").alias("others"))
+    past = pairs.join(per_b.select("lo_b", "splits"), "lo_b").select("id_a", "lo_a", "lo_b", block(F.pmod(F.xxhash64("lo_a"), "splits").cast("int")))
+    past = past.groupBy(F.col("id_a").alias("id"), F.col("lo_a").alias("lo"), "block").agg(F.collect_set("lo_b").alias("others"))  # at most the classes of one block
+    past = past.join(rows, "id").select("block", F.lit(1).alias("side"), "lo", "text", "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: OrderedDict[int, np.ndarray] = OrderedDict()
+        at, sets, met = None, {}, set()
         for batch in batches:
-            new: dict[int, str] = {}
-            for side in ("a", "b"):
-                for i, t in zip(batch.column(f"id_{side}").to_pylist(), batch.column(f"text_{side}")):
-                    if i not in sets and i not in new:
-                        new[i] = t.as_py()
-            own = dict(zip(new, shingle_sets(list(new.values()), shingle, least_words)))
-            out = []
-            for x, y in zip(batch.column("id_a").to_pylist(), batch.column("id_b").to_pylist()):
-                s, t = (own[k] if k in own else sets[k] for k in (x, y))
-                o = len(np.intersect1d(s, t, assume_unique=True))
-                out.append(o / (len(s) + len(t) - o))
-            sets.update(own)
-            while len(sets) > 20_000:
-                sets.popitem(last=False)
-            yield pa.RecordBatch.from_arrays([batch.column("id_a"), batch.column("id_b"), pa.array(out, pa.float64())], names=["id_a", "id_b", "similarity"])
-
-    return both.mapInArrow(run, "id_a bigint, id_b bigint, similarity double").where(F.col("similarity") >= threshold - 1e-9)
+            out: list[tuple] = []
+            own = shingle_sets(batch.column("text").to_pylist(), shingle, least_words)
+            for place, side, x, s, others in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "lo")), own, batch.column("others").to_pylist()):
+                if place != at:
+                    at, sets, met = place, {}, set()
+                if s is None or set_hash(s)[1] != x:
+                    continue  # another text under the same id
+                if side == 0:
+                    sets[x] = s
+                    continue
+                if x in met:
+                    continue  # the same text under the same id
+                met.add(x)
+                for y in others:
+                    t = sets[y]
+                    o = len(np.intersect1d(s, t, assume_unique=True))
+                    out.append((x, y, o / (len(s) + len(t) - o)))
+            cols = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["lo_a", "lo_b", "similarity"])
+
+    placed = held.unionByName(past).repartition(max(12, blocks), "block").sortWithinPartitions("block", "side")
+    return placed.mapInArrow(run, "lo_a bigint, lo_b bigint, similarity double").where(F.col("similarity") >= threshold - 1e-9)
 
 
 def near_duplicates(rows: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -382,7 +417,7 @@ def near_duplicates(rows: DataFrame, id_col: str, text_col: str, shingle: int =
     profile = written(_profile(rows, shingle, least_words))
     members = profile.where("id is not null").select("id", "hi", "lo", "n")
     freq = _bucket_counts(profile)
-    counts = spark.sparkContext.broadcast(freq)  # 4 MB, whatever the input
+    counts = spark.sparkContext.broadcast(_Counts(freq))  # 16 MB, whatever the input
     parts = max(12, math.ceil(int(freq.sum(dtype=np.int64)) * (1 - threshold) / PER_TASK))
     posted = _post(_leading(rows, counts, shingle, least_words, threshold), counts, parts)
 
@@ -396,8 +431,8 @@ def near_duplicates(rows: DataFrame, id_col: str, text_col: str, shingle: int =
     classes = members.groupBy("hi", "lo").agg(F.min("id").alias("id"))
     side = lambda s: classes.select(F.col("hi").alias(f"hi_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("id").alias(f"id_{s}"))
     pairs = written(pairs.join(side("a"), "lo_a").join(side("b"), "lo_b"))
-    checked = _verified(pairs.select("id_a", "id_b"), rows, shingle, least_words, threshold)
-    links = written(checked.join(pairs, ["id_a", "id_b"]).select("hi_a", "lo_a", "hi_b", "lo_b", "similarity"))
+    checked = _verified(pairs.select("id_a", "lo_a", "id_b", "lo_b"), rows, shingle, least_words, threshold)
+    links = written(checked.join(pairs, ["lo_a", "lo_b"]).select("hi_a", "lo_a", "hi_b", "lo_b", "similarity"))
     return members, links
 
 

@@ -204,6 +204,18 @@ def test_hot_sequences_are_split(spark, monkeypatch):
     assert {tuple(r) for r in neardup.expanded_pairs(members, links).collect()} == brute(rows, 3, 0.6, 0)
 
 
+def test_few_buckets_and_small_blocks(spark, monkeypatch):
+    """As on an input with far more sequences than buckets: every bucket holds more than HOT, and blocks and hot partners are split."""
+    for name, value in (("BUCKET_BITS", 4), ("BLOCKS", 4), ("HOT", 3), ("PAIRS_PER_BLOCK", 4), ("CHARS_PER_BLOCK", 500)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(5)
+    rows = [(i, " ".join(["alfa beta gamma delta epsilon zeta eta theta iota kappa"] + [f"v{rng.randrange(6)}" for _ in range(4)])) for i in range(40)]
+    rows += [(100 + i, " ".join(f"u{rng.randrange(900)}" for _ in range(40))) for i in range(40)]
+    df = spark.createDataFrame([*rows, (3, "uno due tre quattro"), rows[0]], "chunk_id long, text string")
+    members, links = neardup.near_duplicates(df, "chunk_id", "text", 3, 0.6, 5)
+    assert {tuple(r) for r in neardup.expanded_pairs(members, links).collect()} == brute(rows, 3, 0.6, 5)
+
+
 def test_very_long_texts_are_compared(spark, monkeypatch):
     monkeypatch.setattr(neardup, "GROUP", 1)  # as if the rarest sequence of one had been edited
     rng = random.Random(4)
