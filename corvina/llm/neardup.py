@@ -174,7 +174,7 @@ def _leading(rows: DataFrame, counts, shingle: int, least_words: int, threshold:
                 seen.add(key)
                 f = freq.of(s)
                 lead = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1
-                order = np.lexsort((s, f))[:lead]
+                order = np.argsort(f, kind="stable")[:lead]  # equal counts in the order of the hashes
                 # A bucket counted once holds a sequence of this text alone.
                 shared = np.flatnonzero(f[order] > 1)
                 if not len(shared):
@@ -255,6 +255,7 @@ def _post(leading: DataFrame, counts, parts: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             key, g, r, part = key[order], g[order], r[order], part[order]
             edges = np.searchsorted(part, np.arange(parts + 1))
+            small = np.uint16 if len(groups) <= 2**16 else np.uint32  # told apart by length when read
             rows: list[tuple] = []
             for p in range(parts):
                 a, z = edges[p], edges[p + 1]
@@ -262,7 +263,7 @@ def _post(leading: DataFrame, counts, parts: int) -> DataFrame:
                     continue
                 held, where = np.unique(g[a:z], return_inverse=True)
                 own = np.concatenate([member[first[x] : first[x] + size[x]] for x in held])
-                rows.append((p, key[a:z].tobytes(), where.astype(np.int32).tobytes(), r[a:z].tobytes(), size[held].tobytes(), lo[own].tobytes(), n[own].astype(np.int32).tobytes(), bits[own].tobytes()))
+                rows.append((p, key[a:z].tobytes(), where.astype(small).tobytes(), r[a:z].tobytes(), size[held].astype(np.uint8).tobytes(), lo[own].tobytes(), n[own].astype(np.int32).tobytes(), bits[own].tobytes()))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=[x.split()[0] for x in PACKED.split(", ")])
 
@@ -279,12 +280,12 @@ def _candidates(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Pairs of class hashes that pass all bounds, among the groups of one task."""
     key = np.frombuffer(b"".join(f["token"]), np.uint64)
     rest = np.frombuffer(b"".join(f["rest"]), np.uint16).astype(np.int64)
-    size = np.frombuffer(b"".join(f["sizes"]), np.int32)
+    size = np.frombuffer(b"".join(f["sizes"]), np.uint8).astype(np.int64)
     lo = np.frombuffer(b"".join(f["lo"]), np.int64)
     n = np.frombuffer(b"".join(f["n"]), np.int32).astype(np.int64)
     bits = np.frombuffer(b"".join(f["bits"]), np.uint64).reshape(-1, SKETCH_BITS // 64)
-    offsets = np.append(0, np.cumsum([len(x) // 4 for x in f["sizes"]])[:-1])
-    holder = np.concatenate([np.frombuffer(x, np.int32) + o for x, o in zip(f["holder"], offsets)])
+    offsets = np.append(0, np.cumsum([len(x) for x in f["sizes"]])[:-1])
+    holder = np.concatenate([np.frombuffer(x, np.uint16 if len(x) * 4 == len(k) else np.uint32).astype(np.int64) + o for x, k, o in zip(f["holder"], f["token"], offsets)])
     first = np.append(0, np.cumsum(size)[:-1]).astype(np.int64)
     union = np.bitwise_or.reduceat(bits, first, axis=0)
     least, most = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
@@ -349,8 +350,12 @@ def _candidates(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
     for k in range(0, len(inner), 20_000):
         g = inner[k : k + 20_000]
         open_groups(np.repeat(first[g], size[g]) + _ranges(size[g]), np.repeat(g, size[g]))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"lo_a": pairs[:, 0], "lo_b": pairs[:, 1]})
+    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    a, b = pairs[:, 0], pairs[:, 1]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    return pd.DataFrame({"lo_a": a[new], "lo_b": b[new]})
 
 
 def _ranges(times: np.ndarray) -> np.ndarray:
