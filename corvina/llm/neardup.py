@@ -377,10 +377,10 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least_words: int,
     blocks = max(1, math.ceil(total / CHARS_PER_BLOCK), math.ceil(pairs.count() / PAIRS_PER_BLOCK))
     block = lambda salt: F.pmod(F.xxhash64("lo_b", salt), F.lit(blocks)).cast("int").alias("block")
     held = per_b.select("id_b", "lo_b", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt")).select(F.col("id_b").alias("id"), F.col("lo_b").alias("lo"), block(F.col("salt"))).distinct()
-    held = held.join(rows, "id").select("block", F.lit(0).alias("side"), "lo", "text", F.lit(None).cast("array<bigint>").alias("others"))
+    held = held.select("id", "lo", "block", F.lit(0).alias("side"), F.lit(None).cast("array<bigint>").alias("others"))
     past = pairs.join(per_b.select("lo_b", "splits"), "lo_b").select("id_a", "lo_a", "lo_b", block(F.pmod(F.xxhash64("lo_a"), "splits").cast("int")))
     past = past.groupBy(F.col("id_a").alias("id"), F.col("lo_a").alias("lo"), "block").agg(F.collect_set("lo_b").alias("others"))  # at most the classes of one block
-    past = past.join(rows, "id").select("block", F.lit(1).alias("side"), "lo", "text", "others")
+    past = past.select("id", "lo", "block", F.lit(1).alias("side"), "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sets, met = None, {}, set()
@@ -405,7 +405,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least_words: int,
             cols = list(zip(*out)) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["lo_a", "lo_b", "similarity"])
 
-    placed = held.unionByName(past).repartition(max(12, blocks), "block").sortWithinPartitions("block", "side")
+    placed = held.unionByName(past).join(rows, "id").select("block", "side", "lo", "text", "others").repartition(max(12, blocks), "block").sortWithinPartitions("block", "side")
     return placed.mapInArrow(run, "lo_a bigint, lo_b bigint, similarity double").where(F.col("similarity") >= threshold - 1e-9)
 
 
