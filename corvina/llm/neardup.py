@@ -38,7 +38,7 @@ from corvina.operators.graph import connected_components
 from corvina.session import table, written
 
 BUCKET_BITS, BLOCKS = 22, 64
-SKETCH_BITS = 384
+SKETCH_BITS = 320
 GROUP = 64
 #: Rows of one group or sequence beyond which it is split.
 HOT = 50_000
