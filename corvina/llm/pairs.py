@@ -35,6 +35,8 @@ from corvina.session import table
 MOST_ROWS, MOST_DOCS = 6_000, 3_000
 LANGUAGES = ("it", "en", "fr", "de", "es")
 LABELS = ("truncated", "refusal", "copy", "other_language", "empty")
+#: Labels told by words, of which every row shows some that others lack.
+WORDED = ("truncated", "refusal")
 BITS = 18
 LANG_BITS = 16
 WORD = re.compile("[^\\W\\d_]+|\\d[\\d.,/:]*|\x01")
@@ -598,12 +600,17 @@ def fit_with_report(pairs: list[tuple[str, str]], texts: list[str], langs: list[
             w = _fit(ids[np.repeat(train, size)], np.concatenate([[0], np.cumsum(size[train])]), t[train])
             z = _scores(w, ids, starts)
             cut = _threshold(z[held], t[held], NEGATIVES[LABELS[k]]) if t[held].any() else np.inf
-            # The cut holds for rows that were not learnt from; the last weights come from all rows.
-            weights.append(_fit(ids, starts, t) if turn and np.isfinite(cut) else w)
-            cuts.append(cut)
-            scales.append(max(float(np.std(z)), 1e-6))
             hit = (z[held] > cut) & (t[held] > 0)
             report[LABELS[k]] = (float(hit.sum() / max(1, (z[held] > cut).sum())), float(hit.sum() / max(1, t[held].sum())))
+            if turn and LABELS[k] in WORDED and np.isfinite(cut):
+                # The cut holds for rows that were not learnt from; the last weights come from all rows, their scores brought to the scale of the first.
+                w = _fit(ids, starts, t)
+                again = _scores(w, ids, starts)
+                slope, base_line = np.polyfit(z[train], again[train], 1)
+                cut, z = slope * cut + base_line, again
+            weights.append(w)
+            cuts.append(cut)
+            scales.append(max(float(np.std(z)), 1e-6))
         model = Model(language, weights, np.array(cuts), np.array(scales))
         if turn == 0:
             found = predict(model, [q for q, _, _ in every], [a for _, a, _ in every])

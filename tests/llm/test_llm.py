@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -378,6 +379,15 @@ def test_held_out_defects(fitted):
     assert all(p > 0.85 and r > 0.8 for p, r in report.values()), report
 
 
+def test_every_defect_occurs_in_the_log(model, data):
+    """The last weights and the thresholds fit each other: no label vanishes, none takes over."""
+    logs = pd.read_parquet(f"{data}/query_logs.parquet", columns=["query", "answer"]).astype(object)
+    logs = logs.where(logs.notna(), None)
+    got = pd.Series(pairs.predict(model, logs["query"].tolist(), logs["answer"].tolist()))
+    share = got.value_counts() / len(got)
+    assert all(0.004 < share.get(label, 0) < 0.06 for label in pairs.LABELS), share
+
+
 def test_split_keeps_sources_and_wordings_apart():
     made = pairs.synthetic([(f"Qual è la penale numero {i} per il portale?", "Il perito esegue il controllo dell'impianto. La ditta invia il conto.", "it") for i in range(60)], 3)
     train, held = pairs.split(made)
