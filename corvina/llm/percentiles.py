@@ -140,12 +140,12 @@ def p6_found(spark: SparkSession, sf_dir: str, least: int = 5, limit_ms: float =
 QUERIES = {"p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_combined": p6_combined}
 
 _ONCE = """once AS (SELECT DISTINCT log_id, strftime(created_at, '%Y-%m-%d') AS log_day, lower(trim(source)) AS source, intent, latency_ms
-FROM query_logs WHERE latency_ms > 0 AND intent IS NOT NULL)"""
+FROM query_logs WHERE latency_ms > 0)"""
 _PER = """SELECT {g}, CAST(p.percentile AS DOUBLE) AS percentile, CAST(min(o.latency_ms) FILTER (o.rk >= ceil(round(p.percentile * o.n, 9))) AS DOUBLE) AS value, max(o.n) AS n
 FROM (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY latency_ms) AS rk, count(*) OVER (PARTITION BY {g}) AS n FROM once) o,
 (VALUES (0.5e0), (0.9e0), (0.99e0)) p(percentile) GROUP BY {g}, p.percentile"""
 ORACLES = {
-    "p6_found": f"""WITH {_ONCE} SELECT log_day, source, intent FROM once GROUP BY log_day, source, intent
+    "p6_found": f"""WITH {_ONCE} SELECT log_day, source, intent FROM once WHERE intent IS NOT NULL GROUP BY log_day, source, intent
 HAVING count(*) >= 5 AND quantile_disc(latency_ms, 0.5) > 6000""",
     "p6_percentiles": f"WITH {_ONCE} " + _PER.format(g="log_day, source, intent"),
     "p6_combined": f"WITH {_ONCE} " + _PER.format(g="source, intent"),
