@@ -69,30 +69,60 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, least: float | None = None) -> DataFrame:
-    """(query_id, id, score): cosine of every query with every vector, a block of vectors at a time.
-
-    queries (query_id, embedding) is a stated set; it is cut into blocks that travel to the
-    vectors, which stay where they are. With ``least`` only scores of at least that remain.
+def dense_scores(vectors: DataFrame, queries: DataFrame, least: float | None = None, k: int | None = None, block: int = 2_000) -> DataFrame:
+    """(query_id, id, score): cosine of every query with every vector.
+
+    queries (query_id, embedding) is a stated set. It is cut into blocks of about ``block`` rows and
+    the vectors into parts; each pair of them meets in one task, which keeps the block and streams
+    the part past it, so a vector travels once a block of queries and no row holds more than itself.
+    With ``least`` only scores of at least that remain, with ``k`` the best k of each query in a
+    part (equal ones, to six places, by id), so little leaves a task. A null vector meets nothing.
     """
-    block = queries.select("query_id", "embedding").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(16)).alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))
-    pairs = vectors.select("id", "embedding").crossJoin(block)
+    usable = "embedding is not null and size(embedding) > 0"
+    q, v = queries.where(usable).select("query_id", "embedding"), vectors.where(usable).select("id", "embedding")
+    blocks = max(1, -(-q.count() // block))
+    parts = max(1, v.sparkSession.sparkContext.defaultParallelism // blocks)
+    left = q.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), F.lit(0).alias("side"), F.col("query_id").alias("id"), "embedding")
+    right = v.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), F.lit(1).alias("side"), "id", "embedding")
+
+    def unit(rows: list) -> np.ndarray:
+        m = np.array(rows, dtype=float)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def best(f: pd.DataFrame) -> pd.DataFrame:
+        if k is None or f.empty:
+            return f
+        f = f.assign(_r=-f["score"].round(6)).sort_values(["query_id", "_r", "id"])
+        return f.groupby("query_id").head(k).drop(columns="_r")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ids, held, matrix, found = None, [], [], None, []
         for f in frames:
-            out = []
-            for b, g in f.groupby("block"):
-                qs = g["qs"].iloc[0]
-                q = np.array([x["embedding"] for x in qs], dtype=float)
-                v = np.array(g["embedding"].tolist(), dtype=float)
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = q @ v.T
+            for key, g in f.groupby(["b", "p"], sort=False):
+                if key != at:
+                    if found:
+                        yield best(pd.concat(found))
+                    at, ids, held, matrix, found = key, [], [], None, []
+                own = g[g["side"] == 0]
+                ids += own["id"].tolist()
+                held += own["embedding"].tolist()
+                g = g[g["side"] == 1]
+                if not held or g.empty:
+                    continue
+                matrix = unit(held) if matrix is None else matrix
+                s = matrix @ unit(g["embedding"].tolist()).T
                 i, j = np.nonzero(s >= (least if least is not None else -2))
-                out.append(pd.DataFrame({"query_id": np.array([x["query_id"] for x in qs])[i], "id": g["id"].to_numpy()[j], "score": s[i, j]}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    return pairs.mapInPandas(run, "query_id bigint, id bigint, score double")
+                found.append(pd.DataFrame({"query_id": np.array(ids)[i], "id": g["id"].to_numpy()[j], "score": s[i, j]}))
+                if k is not None:
+                    found = [best(pd.concat(found))]
+                elif len(found) > 8:
+                    yield pd.concat(found)
+                    found = []
+        if found:
+            yield best(pd.concat(found))
+
+    placed = left.unionByName(right).repartition("b", "p").sortWithinPartitions("b", "p", "side")
+    return placed.mapInPandas(run, "query_id bigint, id bigint, score double")
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 2) -> DataFrame:

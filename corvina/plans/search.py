@@ -96,7 +96,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 100."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
-    return R.ranked(R.dense_scores(v, q).where("id <> query_id"), 5, "score", "id", ["query_id"]).select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+    return R.ranked(R.dense_scores(v, q, k=6).where("id <> query_id"), 5, "score", "id", ["query_id"]).select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def pseudo_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +222,10 @@ def hash_vector_sql(text: str, dims: int = 32) -> str:
     return f"list_transform(range({dims}), lambda i: CAST(('0x' || substr(sha256({text}), CAST((i % 32) * 2 + 1 AS BIGINT), 2)) AS INTEGER) / 255e0 * 2 - 1)"
 
 
-_CASES = f"""WITH {_TERMS}, {_weighted('terms', 'v')}, cases AS (SELECT section_title AS query_id, section_title AS query_text, list(DISTINCT chunk_id) AS relevant, list(DISTINCT document_id) AS documents FROM cur WHERE length(section_title) > 12 GROUP BY 1 HAVING count(DISTINCT chunk_id) BETWEEN 2 AND 50), {_query('SELECT query_id, query_text FROM cases')}"""
+_CASES = f"""WITH {_TERMS}, {_weighted('terms', 'v')}, titled AS (SELECT DISTINCT section_title AS query_id, chunk_id, document_id FROM cur WHERE regexp_matches(section_title, '\\S')),
+cases AS (SELECT query_id, count(DISTINCT chunk_id) AS relevant, count(DISTINCT document_id) AS documents FROM titled GROUP BY 1), {_query('SELECT query_id, query_id AS query_text FROM cases')},
+best AS (SELECT query_id, id AS chunk_id, document_id FROM sparse JOIN cur ON chunk_id = id WHERE rank <= 5),
+hits AS (SELECT query_id, count(*) AS hits FROM best JOIN titled USING (query_id, chunk_id) GROUP BY 1), docs AS (SELECT query_id, count(DISTINCT document_id) AS covered FROM best JOIN titled USING (query_id, document_id) GROUP BY 1)"""
 _ROUTE = "CASE WHEN trim(q) = '' OR {d} THEN 'direct' WHEN {s} THEN 'summary' WHEN {r} THEN 'relational' ELSE 'factual' END"
 _has = lambda ws: "(" + " OR ".join(f"contains(q, '{w}')" for w in ws) + ")"
 ORACLES = {
@@ -237,7 +240,7 @@ ORACLES = {
     "pseudo_embeddings": f"SELECT doc_id, round(v[1] / n, 6) AS first, round(v[32] / n, 6) AS last FROM (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT doc_id, {hash_vector_sql('coalesce(text, chr(0)[1:0])')} AS v FROM documents))",
     "hybrid_rrf": f"{_FULL}, dv AS (SELECT chunk_id AS id, {hash_vector_sql('text')} AS x FROM cur), qvv AS (SELECT {hash_vector_sql(chr(39) + QUERY + chr(39))} AS y), dense AS (SELECT id, row_number() OVER (ORDER BY round(list_cosine_similarity(x, y), 6) DESC, id) AS rank FROM dv, qvv), fused AS (SELECT id, sum(1 / (2e0 + rank - 1)) AS score FROM (SELECT id, rank FROM sparse WHERE rank <= 36 UNION ALL SELECT id, rank FROM dense WHERE rank <= 36) GROUP BY 1) SELECT row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank, id AS chunk_id, round(score, 6) AS score FROM fused ORDER BY rank LIMIT 36",
     "lexical_rerank": f"{_FULL}, p AS (SELECT id, round(score, 6) AS score, {token_set_sql('text')} AS a, {token_set_sql(chr(39) + QUERY + chr(39))} AS b FROM sparse JOIN cur ON chunk_id = id WHERE rank <= 36 AND round(score, 6) >= 0.05), x AS (SELECT id, CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS lex, score FROM p), y AS (SELECT id AS chunk_id, round(lex, 6) AS lexical_score, round(score * 0.85e0 + lex * 0.15e0, 6) AS hybrid_score FROM x) SELECT *, row_number() OVER (ORDER BY hybrid_score DESC, chunk_id) AS rank FROM y ORDER BY rank LIMIT 12",
-    "retrieval_eval": f"{_CASES}, got AS (SELECT query_id, list(id ORDER BY rank) AS ids, list(document_id ORDER BY rank) AS docs FROM sparse JOIN cur ON chunk_id = id WHERE rank <= 5 GROUP BY 1), e AS (SELECT len(list_filter(coalesce(ids, []), lambda x: list_contains(relevant, x))) / 5e0 AS p, len(list_intersect(coalesce(ids, []), relevant)) / len(relevant) AS r, len(list_intersect(coalesce(docs, []), documents)) / len(documents) AS c FROM cases LEFT JOIN got USING (query_id)) SELECT count(*) AS cases, round(avg(p), 4) AS precision_at_5, round(avg(r), 4) AS recall_at_5, round(avg(c), 4) AS document_coverage FROM e",
+    "retrieval_eval": f"{_CASES} SELECT count(*) AS cases, round(avg(coalesce(hits, 0) / 5e0), 4) AS precision_at_5, round(avg(coalesce(hits, 0) / relevant), 4) AS recall_at_5, round(avg(coalesce(covered, 0) / documents), 4) AS document_coverage FROM cases LEFT JOIN hits USING (query_id) LEFT JOIN docs USING (query_id)",
     "intent_routing": f"SELECT {_ROUTE.format(d=_has(T.DIRECT), s=_has(T.SUMMARY), r=_has(T.RELATIONAL))} AS routed, intent, count(*) AS n FROM (SELECT DISTINCT ON (log_id) lower(coalesce(query, '')) AS q, intent FROM query_logs) GROUP BY 1, 2",
     "query_entities": """SELECT log_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(query, '"([^"]+)"', 1), regexp_extract_all(query, '[A-Z][a-zA-Z \\t\\n]+')), lambda s: trim(s)), lambda s: length(s) > 2)))[1:3], '|') AS entities FROM (SELECT DISTINCT log_id, query FROM query_logs WHERE query IS NOT NULL)""",
 }

@@ -31,18 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a scan would leave most of them idle (one small file, one row group).
+    """Rows over all cores where a scan would leave most of them idle (fewer files than half the cores, of a bounded size).
 
     Larger inputs are read in enough parts and pass through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() * 2 < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) * 2 < cores and _bytes(df) < SPREAD_BYTES else df
+
+
+#: A table of more bytes is split by the scan itself.
+SPREAD_BYTES = 512_000_000
+
+
+def _bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table."""
+    spark = df.sparkSession
+    total = 0
+    for name in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary one is used if all of Spark runs in this process; on a cluster
+    it is an error, as every executor would write its own part of a table to its own machine.
+    """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-corvina-")
         spark.conf.set(CHECKPOINT_CONF, named)
     return named
