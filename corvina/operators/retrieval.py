@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from corvina.functions import text as T
@@ -45,6 +46,54 @@ def weighted(terms: DataFrame, df: DataFrame, stats: DataFrame, by: list[str] |
     return w.join(norms, "id").select("id", "term", (F.col("weight") / F.col("norm")).alias("weight"))
 
 
+#: Folders of the index; a question reads those of its terms.
+INDEX_BUCKETS = 64
+DF_SCHEMA, STATS_SCHEMA = "term string, df bigint, bucket int", "n bigint, tokens bigint, avg_len double"
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored BM25 index: postings (term, id, weight, bucket), df (term, df, bucket) and stats (one row)."""
+
+    postings: DataFrame
+    df: DataFrame
+    stats: DataFrame
+
+    def of_terms(self, terms: Sequence[str]) -> Index:
+        """The part of a few given terms: other buckets are not listed, other row groups are skipped."""
+        buckets = {r[0] for r in self.df.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"))).collect()}
+        narrow = lambda x: x.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
+        return Index(narrow(self.postings), narrow(self.df), self.stats)
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def build_index(terms: DataFrame, path: str) -> None:
+    """Write the index of term counts (id, term, tf, len) below ``path``.
+
+    Rows are range-partitioned and sorted by bucket, term and id, so a term that every text has is
+    split over files, and the statistics of a file's row groups tell which terms they hold.
+    """
+    spark = terms.sparkSession
+
+    def put(df: DataFrame, name: str, order: list[str]) -> None:
+        placed = df.withColumn("bucket", bucket_of(F.col("term"))).repartitionByRange("bucket", *order)
+        placed.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+
+    df = document_frequency(terms)
+    put(df, "df", ["term"])
+    corpus_stats(terms).write.mode("overwrite").parquet(f"{path}/stats")
+    counted = spark.read.schema(DF_SCHEMA).parquet(f"{path}/df").select("term", "df")
+    put(weighted(terms, counted, spark.read.schema(STATS_SCHEMA).parquet(f"{path}/stats")), "postings", ["term", "id"])
+
+
+def open_index(spark: SparkSession, path: str, id_type: str = "bigint") -> Index:
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    return Index(read("postings", f"term string, id {id_type}, weight double, bucket int"), read("df", DF_SCHEMA), read("stats", STATS_SCHEMA))
+
+
 def ranked(scores: DataFrame, k: int, score: str, tie: str, by: list[str] | None = None) -> DataFrame:
     """The k best per query with their rank from 1; equal scores (to six places) are ordered by ``tie``."""
     w = Window.partitionBy(*(by or [])).orderBy(F.desc(F.round(score, 6)), F.asc(tie)) if by else None

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from corvina.functions import text as T
 from corvina.operators import retrieval as R
 from corvina.operators.tables import current_chunks, numbered
-from corvina.session import spread, table, written
+from corvina.session import new_folder, spread, table, written
 
 QUERY = "rimborso delle spese mediche dopo la denuncia del sinistro firmata"
 TOP_K, OVERSAMPLING = 12, 3
@@ -22,19 +22,36 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     return written(R.term_counts(_chunks(spark, d), "chunk_id", F.col("text")))
 
 
-def _query_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, term, weight): queries (query_id, query_text) weighted with the corpus' statistics."""
-    q = R.term_counts(queries, "query_id", F.col("query_text"))
-    return R.weighted(q, R.document_frequency(terms), R.corpus_stats(terms)).withColumnRenamed("id", "query_id")
+_BUILT: dict[tuple, str] = {}
+
+
+def search_index(spark: SparkSession, d: str) -> R.Index:
+    """The BM25 index of the current chunks of ``d``.
+
+    Built by the first question of an application and kept in the shared folder for the others;
+    files added to the table or replaced by new ones make it be built again.
+    """
+    files = tuple(sorted(table(spark, d, "chunks").inputFiles()))
+    key = (spark.sparkContext.applicationId, d, files)
+    if key not in _BUILT:
+        path = new_folder(spark)
+        R.build_index(_terms(spark, d), path)
+        _BUILT[key] = path
+    return R.open_index(spark, _BUILT[key])
 
 
 def _one(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.col("id").alias("query_id"), F.lit(QUERY).alias("query_text"))
 
 
-def _sparse_top(spark: SparkSession, terms: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    postings = R.weighted(terms, R.document_frequency(terms), R.corpus_stats(terms))
-    return R.ranked(R.sparse_scores(_query_terms(queries, terms), postings), k, "score", "id", ["query_id"])
+def _sparse_top(spark: SparkSession, d: str, queries: DataFrame, k: int, few: bool = False) -> DataFrame:
+    """The best ``k`` chunks of each query (query_id, query_text); of a ``few`` only their terms are read."""
+    index = search_index(spark, d)
+    q = R.term_counts(queries, "query_id", F.col("query_text"))
+    if few:
+        index = index.of_terms([r.term for r in q.select("term").distinct().collect()])
+    weights = R.weighted(q, index.df.select("term", "df"), index.stats).withColumnRenamed("id", "query_id")
+    return R.ranked(R.sparse_scores(weights, index.postings.drop("bucket")), k, "score", "id", ["query_id"])
 
 
 def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +97,7 @@ def vocabulary_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def sparse_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: one question, BM25 vectors, the best chunks with quote and reference."""
-    top = written(_sparse_top(spark, _terms(spark, d), _one(spark), TOP_K))
+    top = written(_sparse_top(spark, d, _one(spark), TOP_K, few=True))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "filename")
     rows = top.join(_chunks(spark, d), F.col("id") == F.col("chunk_id")).join(docs, "document_id", "left")
     return rows.select("rank", "chunk_id", "document_id", F.round("score", 6).alias("score"), T.quote(F.col("text")).alias("quote"), T.reference(F.col("filename"), F.col("page_start"), F.col("page_end"), F.col("section_title"), F.col("chunk_index")).alias("reference"))
@@ -89,7 +106,7 @@ def sparse_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def log_search(spark: SparkSession, d: str) -> DataFrame:
     """The three best chunks for every logged question whose id is divisible by 100."""
     logs = table(spark, d, "query_logs").where("log_id % 100 = 0 and query is not null").select(F.col("log_id").alias("query_id"), F.col("query").alias("query_text")).distinct()
-    return _sparse_top(spark, _terms(spark, d), logs, 3).select(F.col("query_id").alias("log_id"), F.col("id").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
+    return _sparse_top(spark, d, logs, 3).select(F.col("query_id").alias("log_id"), F.col("id").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -104,43 +121,52 @@ def pseudo_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", 32), 6).alias("last"))
 
 
-def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Sparse and hash-vector lists for one question, fused by reciprocal rank."""
-    terms = _terms(spark, d)
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, id, score, rank): sparse and hash-vector lists for one question, fused by reciprocal rank."""
     search_k = TOP_K * OVERSAMPLING
-    sparse = _sparse_top(spark, terms, _one(spark), search_k)
+    sparse = _sparse_top(spark, d, _one(spark), search_k, few=True)
     vec = _one(spark).select(T.hash_components(F.col("query_text"), 32).alias("q"))
     dense = _chunks(spark, d).select(F.col("chunk_id").alias("id"), T.hash_components(F.col("text"), 32).alias("v")).crossJoin(F.broadcast(vec)).select(F.lit(0).cast("bigint").alias("query_id"), "id", R.dot(F.col("q"), F.col("v")).alias("score"))
     fused = R.reciprocal_rank_fusion([sparse, R.ranked(dense, search_k, "score", "id")])
-    return R.ranked(fused, search_k, "score", "id").select("rank", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
+    return R.ranked(fused, search_k, "score", "id")
+
+
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d).select("rank", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
 def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The sparse pool of one question, reranked by shared words."""
-    pool = _sparse_top(spark, _terms(spark, d), _one(spark), TOP_K * OVERSAMPLING).select("id", F.round("score", 6).alias("score"))
+    pool = _sparse_top(spark, d, _one(spark), TOP_K * OVERSAMPLING, few=True).select("id", F.round("score", 6).alias("score"))
     rows = pool.join(_chunks(spark, d), F.col("id") == F.col("chunk_id")).withColumn("query_text", F.lit(QUERY))
     out = R.lexical_hybrid(rows, floor=0.05).select("id", F.round("lexical_score", 6).alias("lexical_score"), F.round("hybrid_score", 6).alias("hybrid_score"))
     return R.ranked(out, TOP_K, "hybrid_score", "id").withColumnRenamed("id", "chunk_id")
 
 
 def diversified_results(spark: SparkSession, d: str) -> DataFrame:
-    top = _sparse_top(spark, _terms(spark, d), _one(spark), TOP_K * OVERSAMPLING)
+    top = _sparse_top(spark, d, _one(spark), TOP_K * OVERSAMPLING, few=True)
     rows = top.join(_chunks(spark, d).select(F.col("chunk_id").alias("id"), "text"), "id")
     return R.diversified(rows).where(F.col("kept_rank") <= TOP_K).select(F.col("id").alias("chunk_id"), "rank", "kept_rank")
 
 
-def full_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    """Pool, floor, lexical rerank, diversification, citations and context blocks for one question."""
-    pool = _sparse_top(spark, _terms(spark, d), _one(spark), TOP_K * OVERSAMPLING).drop("rank")
-    chunks = _chunks(spark, d)
-    rows = R.lexical_hybrid(pool.join(chunks, F.col("id") == F.col("chunk_id")).withColumn("query_text", F.lit(QUERY)), floor=0.05)
+def _retrieved(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    """The fused pool above the floor, reranked by shared words and diversified: (id, kept_rank, score), at most 12."""
+    pool = written(_fused(spark, d).drop("rank"))
+    rows = R.lexical_hybrid(pool.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id").withColumn("query_text", F.lit(QUERY)))
     order = R.ranked(rows.select("query_id", "id", "hybrid_score", "score", "text"), TOP_K * OVERSAMPLING, "hybrid_score", "id", ["query_id"])
     kept = R.diversified(order).where(F.col("kept_rank") <= TOP_K)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "filename")
-    cited = kept.join(rows.select("id", "document_id", "chunk_index", "section_title", "page_start", "page_end", "text", "score"), "id").join(docs, "document_id", "left")
+    return kept.select("query_id", "id", "kept_rank").join(rows.select("query_id", "id", "hybrid_score"), ["query_id", "id"]).select("id", "kept_rank", F.col("hybrid_score").alias("score"))
+
+
+def full_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid pool, floor, lexical rerank, diversification, whole citations and context blocks for one question."""
+    chunks = current_chunks(spread(table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_index", "text", "section_title", "char_start", "char_end", "page_start", "page_end", "created_at"))).where("text is not null")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "filename", F.col("page_count").alias("document_page_count"))
+    cited = _retrieved(spark, d, chunks).join(chunks.withColumnRenamed("chunk_id", "id"), "id").join(docs, "document_id", "left")
     ref = T.reference(F.col("filename"), F.col("page_start"), F.col("page_end"), F.col("section_title"), F.col("chunk_index"))
     block = F.concat(F.lit("---\nFonte: "), ref, F.lit('\nEstratto: "'), T.quote(F.col("text")), F.lit('"\nTesto completo:\n'), F.col("text"))
-    return cited.select(F.col("kept_rank").alias("rank"), F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), ref.alias("reference"), block.alias("context_block"))
+    names = ["document_id", "filename", "text", "chunk_index", "char_start", "char_end", "page_start", "page_end", "document_page_count"]
+    return cited.select(F.col("kept_rank").alias("rank"), F.col("id").alias("chunk_id"), *names, F.nullif("section_title", F.lit("")).alias("section_title"), F.round("score", 6).alias("score"), T.quote(F.col("text")).alias("quote"), ref.alias("reference"), block.alias("context_block"))
 
 
 def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +178,7 @@ def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
     titled = written(chunks.where(r"section_title rlike '\\S'").select(F.xxhash64("section_title").alias("query_id"), F.col("section_title").alias("query_text"), "chunk_id", "document_id"))
     cases = written(titled.groupBy("query_id", "query_text").agg(F.countDistinct("chunk_id").alias("relevant"), F.countDistinct("document_id").alias("documents")))
-    top = written(_sparse_top(spark, _terms(spark, d), cases.select("query_id", "query_text"), 5).select("query_id", F.col("id").alias("chunk_id")))
+    top = written(_sparse_top(spark, d, cases.select("query_id", "query_text"), 5).select("query_id", F.col("id").alias("chunk_id")))
     hits = top.join(titled.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     docs = top.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("query_id", "document_id").distinct()
     covered = docs.join(titled.select("query_id", "document_id").distinct(), ["query_id", "document_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("covered"))
@@ -226,6 +252,18 @@ _CASES = f"""WITH {_TERMS}, {_weighted('terms', 'v')}, titled AS (SELECT DISTINC
 cases AS (SELECT query_id, count(DISTINCT chunk_id) AS relevant, count(DISTINCT document_id) AS documents FROM titled GROUP BY 1), {_query('SELECT query_id, query_id AS query_text FROM cases')},
 best AS (SELECT query_id, id AS chunk_id, document_id FROM sparse JOIN cur ON chunk_id = id WHERE rank <= 5),
 hits AS (SELECT query_id, count(*) AS hits FROM best JOIN titled USING (query_id, chunk_id) GROUP BY 1), docs AS (SELECT query_id, count(DISTINCT document_id) AS covered FROM best JOIN titled USING (query_id, document_id) GROUP BY 1)"""
+_FUSED = f"dv AS (SELECT chunk_id AS id, {hash_vector_sql('text')} AS x FROM cur), qvv AS (SELECT {hash_vector_sql(chr(39) + QUERY + chr(39))} AS y), dense AS (SELECT id, row_number() OVER (ORDER BY round(list_cosine_similarity(x, y), 6) DESC, id) AS rank FROM dv, qvv), fused AS (SELECT id, sum(1 / (2e0 + rank - 1)) AS score FROM (SELECT id, rank FROM sparse WHERE rank <= 36 UNION ALL SELECT id, rank FROM dense WHERE rank <= 36) GROUP BY 1), pool AS (SELECT row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank, id, score FROM fused ORDER BY rank LIMIT 36)"
+_HYBRID = f", {_FUSED}, lx AS (SELECT id, score, {token_set_sql('text')} AS a, {token_set_sql(chr(39) + QUERY + chr(39))} AS b FROM pool JOIN cur ON chunk_id = id WHERE score >= 0.25), lh AS (SELECT id, score * 0.85e0 + CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END * 0.15e0 AS hybrid FROM lx), lex AS (SELECT id, hybrid, row_number() OVER (ORDER BY round(hybrid, 6) DESC, id) AS place FROM lh)"
+
+
+def _greedy(source: str, place: str, score: str, steps: str = "") -> str:
+    """One candidate a step, kept if it is not too like one kept before."""
+    alike = "len(list_intersect(o.t, c.t)) > 0.82e0 * (len(o.t) + len(c.t) - len(list_intersect(o.t, c.t)))"
+    return f"""WITH RECURSIVE {_FULL[5:]}{steps}, cand AS (SELECT p.place, p.id, p.score, {token_set_sql('text')} AS t FROM (SELECT {place} AS place, id, {score} AS score FROM {source}) p JOIN cur ON chunk_id = p.id),
+g AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS STRUCT(id BIGINT, rank BIGINT, score DOUBLE, t VARCHAR[])[]) AS held UNION ALL SELECT g.step + 1, CASE WHEN len(c.t) > 0 AND len(list_filter(g.held, lambda o: len(o.t) > 0 AND {alike})) > 0 THEN g.held ELSE list_append(g.held, {{'id': c.id, 'rank': c.place, 'score': c.score, 't': c.t}}) END FROM g JOIN cand c ON c.place = g.step + 1),
+kept AS (SELECT x.id, x.rank, x.score, kept_rank FROM (SELECT unnest(held) AS x, generate_subscripts(held, 1) AS kept_rank FROM (SELECT held FROM g ORDER BY step DESC LIMIT 1)))"""
+
+
 _ROUTE = "CASE WHEN trim(q) = '' OR {d} THEN 'direct' WHEN {s} THEN 'summary' WHEN {r} THEN 'relational' ELSE 'factual' END"
 _has = lambda ws: "(" + " OR ".join(f"contains(q, '{w}')" for w in ws) + ")"
 ORACLES = {
@@ -238,8 +276,11 @@ ORACLES = {
     "log_search": f"WITH {_TERMS}, {_weighted('terms', 'v')}, {_query('SELECT DISTINCT log_id AS query_id, query AS query_text FROM query_logs WHERE log_id % 100 = 0 AND query IS NOT NULL')} SELECT query_id AS log_id, id AS chunk_id, rank, round(score, 6) AS score FROM sparse WHERE rank <= 3",
     "dense_topk": "SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id) WHERE rank <= 5",
     "pseudo_embeddings": f"SELECT doc_id, round(v[1] / n, 6) AS first, round(v[32] / n, 6) AS last FROM (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT doc_id, {hash_vector_sql('coalesce(text, chr(0)[1:0])')} AS v FROM documents))",
-    "hybrid_rrf": f"{_FULL}, dv AS (SELECT chunk_id AS id, {hash_vector_sql('text')} AS x FROM cur), qvv AS (SELECT {hash_vector_sql(chr(39) + QUERY + chr(39))} AS y), dense AS (SELECT id, row_number() OVER (ORDER BY round(list_cosine_similarity(x, y), 6) DESC, id) AS rank FROM dv, qvv), fused AS (SELECT id, sum(1 / (2e0 + rank - 1)) AS score FROM (SELECT id, rank FROM sparse WHERE rank <= 36 UNION ALL SELECT id, rank FROM dense WHERE rank <= 36) GROUP BY 1) SELECT row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank, id AS chunk_id, round(score, 6) AS score FROM fused ORDER BY rank LIMIT 36",
+    "hybrid_rrf": f"{_FULL}, {_FUSED} SELECT rank, id AS chunk_id, round(score, 6) AS score FROM pool",
     "lexical_rerank": f"{_FULL}, p AS (SELECT id, round(score, 6) AS score, {token_set_sql('text')} AS a, {token_set_sql(chr(39) + QUERY + chr(39))} AS b FROM sparse JOIN cur ON chunk_id = id WHERE rank <= 36 AND round(score, 6) >= 0.05), x AS (SELECT id, CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS lex, score FROM p), y AS (SELECT id AS chunk_id, round(lex, 6) AS lexical_score, round(score * 0.85e0 + lex * 0.15e0, 6) AS hybrid_score FROM x) SELECT *, row_number() OVER (ORDER BY hybrid_score DESC, chunk_id) AS rank FROM y ORDER BY rank LIMIT 12",
+    "diversified_results": f"{_greedy('sparse WHERE rank <= 36', 'rank', 'score')} SELECT id AS chunk_id, rank, kept_rank FROM kept WHERE kept_rank <= {TOP_K}",
+    "full_retrieval": f"""{_greedy('lex', 'place', 'hybrid', _HYBRID)} SELECT kept_rank AS rank, c.chunk_id, c.document_id, filename, c.text, c.chunk_index, char_start, char_end, page_start, page_end, page_count AS document_page_count, nullif(section_title, '') AS section_title, round(k.score, 6) AS score, {quote_sql('c.text')} AS quote, {REFERENCE_SQL} AS reference, '---' || chr(10) || 'Fonte: ' || reference || chr(10) || 'Estratto: "' || quote || '"' || chr(10) || 'Testo completo:' || chr(10) || c.text AS context_block
+FROM kept k JOIN cur c ON k.id = c.chunk_id LEFT JOIN (SELECT doc_id, filename, page_count FROM documents) ON doc_id = document_id WHERE kept_rank <= {TOP_K}""",
     "retrieval_eval": f"{_CASES} SELECT count(*) AS cases, round(avg(coalesce(hits, 0) / 5e0), 4) AS precision_at_5, round(avg(coalesce(hits, 0) / relevant), 4) AS recall_at_5, round(avg(coalesce(covered, 0) / documents), 4) AS document_coverage FROM cases LEFT JOIN hits USING (query_id) LEFT JOIN docs USING (query_id)",
     "intent_routing": f"SELECT {_ROUTE.format(d=_has(T.DIRECT), s=_has(T.SUMMARY), r=_has(T.RELATIONAL))} AS routed, intent, count(*) AS n FROM (SELECT DISTINCT ON (log_id) lower(coalesce(query, '')) AS q, intent FROM query_logs) GROUP BY 1, 2",
     "query_entities": """SELECT log_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(query, '"([^"]+)"', 1), regexp_extract_all(query, '[A-Z][a-zA-Z \\t\\n]+')), lambda s: trim(s)), lambda s: length(s) > 2)))[1:3], '|') AS entities FROM (SELECT DISTINCT log_id, query FROM query_logs WHERE query IS NOT NULL)""",

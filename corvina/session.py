@@ -83,12 +83,18 @@ def written(df: DataFrame) -> DataFrame:
     table is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corvina-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that is removed when the driver ends."""
+    path = f"{shared_folder(spark)}/corvina-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

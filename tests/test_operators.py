@@ -229,3 +229,23 @@ def test_statistics_follow_a_stream(spark, tmp_path):
     got = {r.term: (r.df, r.chunks, r.tokens) for r in incremental.current(spark.read.parquet(str(tmp_path / "state"))).collect()}
     assert got == {"firewall": (2, 0, 0), "perimetrale": (1, 0, 0), "": (0, 2, 3)}
     assert incremental.needs_rebuild(None, 1) and incremental.needs_rebuild(90, 100) and not incremental.needs_rebuild(97, 100)
+
+
+def test_index_gives_the_weights_of_the_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "risk approval"), (2, "approval policy"), (3, "approval contract"), (4, ""), (5, None)], "id long, t string")
+    terms = retrieval.term_counts(docs, "id", F.col("t"))
+    retrieval.build_index(terms, str(tmp_path / "i"))
+    index = retrieval.open_index(spark, str(tmp_path / "i"))
+    want = {tuple(r) for r in retrieval.weighted(terms, retrieval.document_frequency(terms), retrieval.corpus_stats(terms)).collect()}
+    assert {(r.id, r.term, r.weight) for r in index.postings.collect()} == want
+    part = index.of_terms(["risk", "approval", "unseen"])
+    assert {(r.id, r.term) for r in part.postings.collect()} == {(1, "risk"), (1, "approval"), (2, "approval"), (3, "approval")}
+    assert len(part.postings.inputFiles()) <= len(index.postings.inputFiles()) and part.df.count() == 2
+    assert index.of_terms([]).postings.count() == 0
+
+
+def test_index_of_an_empty_table(spark, tmp_path):
+    terms = retrieval.term_counts(spark.createDataFrame([], "id long, t string"), "id", F.col("t"))
+    retrieval.build_index(terms, str(tmp_path / "i"))
+    index = retrieval.open_index(spark, str(tmp_path / "i"))
+    assert index.postings.count() == 0 and index.stats.first().avg_len == 1.0
