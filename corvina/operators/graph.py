@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from corvina.session import checkpointed
+from corvina.functions import text as T
+from corvina.session import written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -14,7 +16,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nothing changes, which takes a number of rounds logarithmic in the longest chain.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    e = checkpointed(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         # Large star: larger neighbours of a node go to its smallest neighbour.
@@ -24,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         # Small star: smaller neighbours and the node itself go to the smallest of them.
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        e = checkpointed(small.where("a <> b").distinct())
+        e = written(small.where("a <> b").distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -119,47 +121,91 @@ def merged_edges(edges: DataFrame, canonical: DataFrame) -> DataFrame:
     return out.where("src <> dst").distinct()
 
 
-def communities(edges: DataFrame, rounds: int = 8, levels: int = 3, resolution: float = 1.0) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0, least_gain: float = 1e-3) -> DataFrame:
     """(id, leaf, root): communities by moving nodes to where modularity gains most, then contracting.
 
-    Each round is joins and aggregates over the edge table. Nodes of two halves (by hash) move in
-    turns, so that neighbours do not swap places. ``leaf`` is the first level, ``root`` the last.
-    Parallel edges add up; isolated nodes are not in the result. Labels are the least node id.
+    A cycle lets the nodes of two halves (by hash, other halves each cycle) move in turns, so that
+    neighbours do not swap places; each turn is joins and aggregates over the edge table. A level
+    ends when a cycle raises modularity by less than ``least_gain``, the hierarchy when a level
+    does. ``leaf`` is the first level, ``root`` the last; where nothing merges they are the same.
+    Labels are the least node id. Nodes (id) without an edge are communities of their own.
     """
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("w", F.lit(1.0))
-    e = checkpointed(e)
+    e = written(e)
     total = e.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    nodes = e.select(F.col("a").alias("id")).unionAll(e.select(F.col("b").alias("id"))).distinct()
-    assigned = checkpointed(nodes.select("id", F.col("id").alias("leaf"), F.col("id").alias("root")))
-    for level in range(levels):
-        both = e.where("a <> b").select("a", "b", "w").unionAll(e.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    ends = e.select(F.col("a").alias("id")).unionAll(e.select(F.col("b").alias("id")))
+    assigned = written(ends.distinct().select("id", F.col("id").alias("leaf"), F.col("id").alias("root")))
+    level, reached = 0, None
+    while total:
+        both = written(e.where("a <> b").select("a", "b", "w").unionAll(e.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
         loops = e.where("a = b").select("a", (F.col("w") * 2).alias("w"))
         degree = both.select("a", "w").unionAll(loops).groupBy("a").agg(F.sum("w").alias("k"))
-        label = checkpointed(degree.select(F.col("a").alias("id"), "k", F.col("a").alias("c")))
-        moved_before = None
-        for turn in range(rounds):
-            size = label.groupBy("c").agg(F.sum("k").alias("tot"))
-            near = both.join(label.select(F.col("id").alias("b"), F.col("c").alias("d")), "b").groupBy("a", "d").agg(F.sum("w").alias("links"))
-            own = label.select(F.col("id").alias("a"), "k", "c")
-            # Staying is an option even where no neighbour shares the community.
-            options = near.unionAll(own.select("a", F.col("c").alias("d"), F.lit(0.0).alias("links"))).groupBy("a", "d").agg(F.sum("links").alias("links"))
-            scored = options.join(own, "a").join(size.withColumnRenamed("c", "d"), "d")
-            rest = F.col("tot") - F.when(F.col("d") == F.col("c"), F.col("k")).otherwise(F.lit(0.0))
-            scored = scored.withColumn("gain", F.round(F.col("links") - resolution * F.col("k") * rest / (2 * total), 9))
-            best = scored.groupBy("a").agg(F.max(F.struct("gain", (F.col("d") == F.col("c")).alias("stay"), F.xxhash64("d").alias("h"), "d")).alias("best"), F.first("k").alias("k"), F.first("c").alias("c"))
-            may_move = F.pmod(F.xxhash64("a", F.lit(level)), F.lit(2)) == turn % 2
-            label = checkpointed(best.select(F.col("a").alias("id"), "k", F.when(may_move, F.col("best.d")).otherwise(F.col("c")).alias("c")))
-            moved = best.where(may_move & (F.col("best.d") != F.col("c"))).count()
-            if moved == 0 and moved_before == 0:
+        label = written(degree.select(F.col("a").alias("id"), "k", F.col("a").alias("c")))
+        began = best_seen = _modularity(e, label, total, resolution)
+        kept, cycle = label, 0
+        while True:
+            for half in (0, 1):
+                label = _turn(both, label, F.pmod(F.xxhash64("a", F.lit(level), F.lit(cycle)), F.lit(2)) == half, total, resolution)
+            now = _modularity(e, label, total, resolution)
+            gained = now - best_seen
+            if gained > 0:
+                kept, best_seen = label, now
+            cycle += 1
+            if gained < least_gain:
                 break
-            moved_before = moved
-        names = label.groupBy("c").agg(F.min("id").alias("name"))
-        renamed = checkpointed(label.join(names, "c").select("id", "name"))
-        step = assigned.join(renamed.withColumnRenamed("id", "root"), "root")
-        assigned = checkpointed(step.select("id", (F.col("name") if level == 0 else F.col("leaf")).alias("leaf"), F.col("name").alias("root")))
-        groups = renamed.select("name").distinct().count()
-        if groups == renamed.count():
+        if level and best_seen - began < least_gain:
             break
+        names = kept.groupBy("c").agg(F.min("id").alias("name"))
+        renamed = written(kept.join(names, "c").select("id", "name"))
+        step = assigned.join(renamed.withColumnRenamed("id", "root"), "root")
+        assigned = written(step.select("id", (F.col("name") if level == 0 else F.col("leaf")).alias("leaf"), F.col("name").alias("root")))
         ra, rb = renamed.select(F.col("id").alias("a"), F.col("name").alias("x")), renamed.select(F.col("id").alias("b"), F.col("name").alias("y"))
-        e = checkpointed(e.join(ra, "a").join(rb, "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
-    return assigned
+        e = written(e.join(ra, "a").join(rb, "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
+        level += 1
+    if nodes is None:
+        return assigned
+    alone = nodes.select("id").distinct().join(assigned, "id", "left_anti")
+    return assigned.unionByName(alone.select("id", F.col("id").alias("leaf"), F.col("id").alias("root")))
+
+
+def _turn(both: DataFrame, label: DataFrame, may_move: Column, total: float, resolution: float) -> DataFrame:
+    """Labels (id, k, c) after the nodes that may move went where the gain is greatest."""
+    size = label.groupBy("c").agg(F.sum("k").alias("tot"))
+    near = both.where(may_move).join(label.select(F.col("id").alias("b"), F.col("c").alias("d")), "b").groupBy("a", "d").agg(F.sum("w").alias("links"))
+    own = label.select(F.col("id").alias("a"), "k", "c")
+    # Staying is an option even where no neighbour shares the community.
+    options = near.unionAll(own.select("a", F.col("c").alias("d"), F.lit(0.0).alias("links"))).groupBy("a", "d").agg(F.sum("links").alias("links"))
+    scored = options.join(own, "a").join(size.withColumnRenamed("c", "d"), "d")
+    rest = F.col("tot") - F.when(F.col("d") == F.col("c"), F.col("k")).otherwise(F.lit(0.0))
+    scored = scored.withColumn("gain", F.round(F.col("links") - resolution * F.col("k") * rest / (2 * total), 9))
+    best = scored.groupBy("a").agg(F.max(F.struct("gain", (F.col("d") == F.col("c")).alias("stay"), F.xxhash64("d").alias("h"), "d")).alias("best"), F.first("k").alias("k"))
+    return written(best.select(F.col("a").alias("id"), "k", F.col("best.d").alias("c")))
+
+
+def _modularity(e: DataFrame, label: DataFrame, total: float, resolution: float) -> float:
+    at = lambda end, name: label.select(F.col("id").alias(end), F.col("c").alias(name))
+    inner = e.join(at("a", "x"), "a").join(at("b", "y"), "b").where("x = y").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    squares = label.groupBy("c").agg(F.sum("k").alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t")), F.lit(0.0))).first()[0]
+    return inner / total - resolution * squares / (2 * total) ** 2
+
+
+def community_records(assigned: DataFrame, relations: DataFrame, names: DataFrame, most: int = 10, salts: int = 16) -> DataFrame:
+    """(community_id, level, label, entity_count, relation_count, summary) of all leaf and root communities.
+
+    assigned: (id, leaf, root); relations: (src, dst); names: (id, name). The least names of a
+    community are ranked in salted parts first, so a large one is not gathered in one place.
+    """
+    levels = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(x).alias("label")) for x in ("leaf", "root")])).alias("l")
+    members = assigned.join(names, "id").select("id", "name", levels).select("id", "name", "l.*")
+    src = assigned.select(F.col("id").alias("src"), F.col("leaf").alias("src_leaf"), F.col("root").alias("src_root"))
+    dst = assigned.select(F.col("id").alias("dst"), "leaf", "root")
+    joined = relations.join(src, "src").join(dst, "dst").where("root = src_root")
+    inner = joined.select("src_leaf", levels).where("l.level = 'root' or l.label = src_leaf").groupBy("l.level", "l.label").agg(F.count(F.lit(1)).alias("relation_count"))
+    nth = F.row_number().over(Window.partitionBy("level", "label", F.pmod(F.xxhash64("id"), F.lit(salts))).orderBy("name", "id"))
+    parts = members.withColumn("n", nth).where(F.col("n") <= most)
+    top = parts.groupBy("level", "label").agg(F.slice(F.array_sort(F.collect_list(F.struct("name", "id"))), 1, most).alias("top"))
+    counts = members.groupBy("level", "label").agg(F.count(F.lit(1)).alias("entity_count"))
+    rows = counts.join(top, ["level", "label"]).join(inner, ["level", "label"], "left")
+    text = F.concat(F.lit("[MODALITÀ TEST] Community "), "label", F.lit(" con entità: "), F.array_join(F.transform("top", lambda x: x["name"]), ", "), F.lit("."))
+    community = T.uuid5(F.concat(F.lit("community-"), "level", F.lit("-"), "label"), T.NAMESPACE_DNS)
+    return rows.select(community.alias("community_id"), "level", "label", "entity_count", F.coalesce("relation_count", F.lit(0)).alias("relation_count"), text.alias("summary"))

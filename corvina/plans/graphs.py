@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from corvina.functions import text as T
 from corvina.operators import chunking as C, graph as G
 from corvina.operators.tables import current_chunks
-from corvina.session import table, written
+from corvina.plans import search
+from corvina.session import stored, table, written
 
 NAME = r"[A-Z][a-z]{3,}"
 
@@ -159,6 +160,19 @@ def explore_entity_d2(spark: SparkSession, d: str) -> DataFrame:
     return _explore(spark, d, 2)
 
 
+def explore_entity_d3(spark: SparkSession, d: str) -> DataFrame:
+    return _explore(spark, d, 3)
+
+
+def explore_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entities that start an exploration or lie within two steps, whether or not they have a relation."""
+    nodes, edges = star_nodes(spark, d), star_edges(spark, d)
+    starts = nodes.where(F.lower("name").contains("_1") & F.col("type").isin("nation", "region")).orderBy("id").limit(25).select(F.col("id").alias("start"))
+    hit = G.trails(starts, edges, 2).select("edge_id").distinct().join(edges, "edge_id")
+    ids = starts.select(F.col("start").alias("id")).unionAll(hit.select(F.explode(F.array("src", "dst")).alias("id"))).distinct()
+    return nodes.join(ids, "id").select("id", F.trim(F.regexp_replace("name", T.BLANKS, " ")).alias("name"), "type")
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), "embedding")
 
@@ -186,9 +200,57 @@ def entity_resolution_stats(spark: SparkSession, d: str) -> DataFrame:
     return m.agg(F.countDistinct("canonical_id").alias("merged_groups"), F.count_if(F.col("id") != F.col("canonical_id")).alias("removed_entities")).crossJoin(F.broadcast(examined))
 
 
+def _detected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Assignment (id, leaf, root) and records of the communities of the names in chunks, stored by the first query."""
+
+    def build(path: str) -> None:
+        raw = raw_mentions(spark, d)
+        nodes, rel = written(entities(raw)), written(relations(raw))
+        G.communities(rel, nodes).write.parquet(f"{path}/assigned")
+        G.community_records(spark.read.schema(ASSIGNED).parquet(f"{path}/assigned"), rel, nodes.select("id", "name")).write.parquet(f"{path}/records")
+
+    path = stored("communities", [table(spark, d, "chunks"), table(spark, d, "documents")], build)
+    return spark.read.schema(ASSIGNED).parquet(f"{path}/assigned"), spark.read.schema(RECORDS).parquet(f"{path}/records")
+
+
+ASSIGNED = "id string, leaf string, root string"
+RECORDS = "community_id string, level string, label string, entity_count bigint, relation_count bigint, summary string"
+
+
 def community_assign(spark: SparkSession, d: str) -> DataFrame:
     """Leaf and root communities of the graph of names in chunks."""
-    return G.communities(relations(raw_mentions(spark, d)).select("src", "dst"), rounds=6, levels=2)
+    return _detected(spark, d)[0]
+
+
+def community_records(spark: SparkSession, d: str) -> DataFrame:
+    """Id, size and summary of every detected community of both levels."""
+    return _detected(spark, d)[1]
+
+
+def community_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for any partition: each level has every entity once, and roots are unions of leaves."""
+    assigned, records = _detected(spark, d)
+    split = assigned.groupBy("leaf").agg(F.countDistinct("root").alias("roots")).agg(F.count_if(F.col("roots") > 1).alias("split_leaves"))
+    return records.groupBy("level").agg(F.sum("entity_count").alias("entities"), (F.countDistinct("community_id") == F.count(F.lit(1))).alias("distinct_ids")).crossJoin(F.broadcast(split))
+
+
+MOST_SUMMARIES = 5
+
+
+def community_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Context for a question about the whole: the largest root communities."""
+    return _detected(spark, d)[1].where("level = 'root'").orderBy(F.desc("entity_count"), "community_id").limit(MOST_SUMMARIES).select("community_id", "entity_count", "relation_count", "summary")
+
+
+def community_by_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Without root summaries: from the chunks found for a question to the names in them and their leaf communities."""
+    assigned, records = _detected(spark, d)
+    chunks = current_chunks(table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_index", "text", "created_at")).where("text is not null")
+    found = search.retrieved(spark, d, chunks).select(F.col("id").alias("chunk_id"))
+    ids = mentions(raw_mentions(spark, d)).join(found, "chunk_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
+    labels = assigned.join(ids, "id").select(F.col("leaf").alias("label")).distinct()
+    hit = records.where("level = 'leaf'").join(labels, "label").orderBy(F.desc("entity_count"), "community_id").limit(20)
+    return hit.orderBy(F.desc("entity_count"), "community_id").limit(MOST_SUMMARIES).select("community_id", "entity_count", "relation_count", "summary")
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +314,7 @@ def chunk_page_map(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (canonical_entities, entity_relations, relation_types, local_graph_facts, expansion_text, orphan_entities, graph_stats_user, graph_stats_global, explore_entity_d1, explore_entity_d2, entity_similarity_pairs, entity_canonical_map, entity_resolution_stats, community_assign, community_summaries, community_lookup, community_context, chunk_spans, paragraph_offsets, chunk_page_map)
+    for f in (canonical_entities, entity_relations, relation_types, local_graph_facts, expansion_text, orphan_entities, graph_stats_user, graph_stats_global, explore_entity_d1, explore_entity_d2, entity_similarity_pairs, entity_canonical_map, entity_resolution_stats, explore_entity_d3, explore_entities, community_assign, community_records, community_coverage, community_retrieval, community_by_chunks, community_summaries, community_lookup, community_context, chunk_spans, paragraph_offsets, chunk_page_map)
 }
 
 _CUR = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_index ORDER BY created_at DESC NULLS LAST, chunk_id DESC) AS rn FROM chunks) WHERE rn = 1)"
@@ -265,7 +327,8 @@ rel AS (SELECT DISTINCT src, trim(upper('NEXT_TO_' || lang)) AS type, dst FROM (
 rel2 AS (SELECT src, regexp_replace(type, '_+$', '') AS type, dst FROM rel), und AS (SELECT * FROM rel2 UNION ALL SELECT dst, type, src FROM rel2)"""
 _NODES = "nodes AS (SELECT 'region:' || r_regionkey AS id, r_name AS name, 'region' AS type FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'nation' FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT 'customer:' || c_custkey, c_name, 'customer' FROM customer)"
 _EDGES = "edges AS (SELECT 'nation:' || n_nationkey AS src, 'PART_OF' AS type, 'region:' || n_regionkey AS dst FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'LOCATED_IN', 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'customer:' || c_custkey, 'LOCATED_IN', 'nation:' || c_nationkey FROM customer)"
-_EXPL = f"WITH RECURSIVE {_NODES}, {_EDGES}, e AS (SELECT src || '>' || dst AS eid, src AS a, dst AS b FROM edges UNION ALL SELECT src || '>' || dst, dst, src FROM edges), s AS (SELECT id FROM nodes WHERE contains(lower(name), '_1') AND type IN ('nation', 'region') ORDER BY id LIMIT 25), p AS (SELECT id AS here, CAST([] AS VARCHAR[]) AS used, 0 AS n FROM s UNION ALL SELECT e.b, list_append(p.used, e.eid), p.n + 1 FROM p JOIN e ON e.a = p.here AND NOT list_contains(p.used, e.eid) WHERE p.n < {{depth}}), hit AS (SELECT DISTINCT unnest(used) AS eid FROM p) SELECT DISTINCT x.name AS source, g.type, y.name AS target FROM edges g JOIN hit ON eid = src || '>' || dst JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst ORDER BY 1, 2, 3 LIMIT 200"
+_REACH = f"WITH RECURSIVE {_NODES}, {_EDGES}, e AS (SELECT src || '>' || dst AS eid, src AS a, dst AS b FROM edges UNION ALL SELECT src || '>' || dst, dst, src FROM edges), s AS (SELECT id FROM nodes WHERE contains(lower(name), '_1') AND type IN ('nation', 'region') ORDER BY id LIMIT 25), p AS (SELECT id AS here, CAST([] AS VARCHAR[]) AS used, 0 AS n FROM s UNION ALL SELECT e.b, list_append(p.used, e.eid), p.n + 1 FROM p JOIN e ON e.a = p.here AND NOT list_contains(p.used, e.eid) WHERE p.n < {{depth}}), hit AS (SELECT DISTINCT unnest(used) AS eid FROM p)"
+_EXPL = _REACH + " SELECT DISTINCT x.name AS source, g.type, y.name AS target FROM edges g JOIN hit ON eid = src || '>' || dst JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst ORDER BY 1, 2, 3 LIMIT 200"
 _PAIRS = "pairs AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.3)"
 _RES = f"WITH RECURSIVE {_PAIRS}, ed AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs), reach AS (SELECT a AS id, a AS other FROM ed UNION SELECT r.id, ed.b FROM reach r JOIN ed ON ed.a = r.other), canon AS (SELECT id, arg_min(other, (length('entity ' || other), other)) AS canonical_id FROM reach GROUP BY id)"
 _MEM = "nat AS (SELECT n_nationkey AS k, n_regionkey AS community_id, n_name AS name FROM nation), mem AS (SELECT 'nation:' || k AS entity_id, name, community_id FROM nat UNION ALL SELECT 'supplier:' || s_suppkey, s_name, community_id FROM supplier JOIN nat ON k = s_nationkey UNION ALL SELECT 'customer:' || c_custkey, c_name, community_id FROM customer JOIN nat ON k = c_nationkey)"
@@ -281,6 +344,9 @@ ORACLES = {
     "graph_stats_global": f"WITH {_RAW} SELECT 'Document' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'Chunk', count(*) FROM cur UNION ALL SELECT 'Entity', count(*) FROM ent UNION ALL SELECT 'BELONGS_TO', count(document_id) FROM cur UNION ALL SELECT 'MENTIONS', count(*) FROM men UNION ALL SELECT 'RELATED', count(*) FROM rel2",
     "explore_entity_d1": _EXPL.format(depth=1),
     "explore_entity_d2": _EXPL.format(depth=2),
+    "explore_entity_d3": _EXPL.format(depth=3),
+    "explore_entities": _REACH.format(depth=2) + " SELECT n.id, n.name, n.type FROM nodes n WHERE n.id IN (SELECT id FROM s UNION ALL SELECT src FROM edges JOIN hit ON eid = src || '>' || dst UNION ALL SELECT dst FROM edges JOIN hit ON eid = src || '>' || dst)",
+    "community_coverage": f"WITH {_RAW} SELECT level, count(*) AS entities, true AS distinct_ids, 0 AS split_leaves FROM ent, (VALUES ('leaf'), ('root')) v(level) GROUP BY level",
     "entity_similarity_pairs": f"WITH {_PAIRS} SELECT id_a, id_b, round(score, 6) AS score FROM pairs",
     "entity_canonical_map": f"{_RES} SELECT id, canonical_id FROM canon",
     "entity_resolution_stats": f"{_RES} SELECT count(DISTINCT canonical_id) AS merged_groups, count(*) FILTER (id <> canonical_id) AS removed_entities, (SELECT count(*) FROM embeddings) AS examined FROM canon",

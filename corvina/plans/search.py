@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from corvina.functions import text as T
 from corvina.operators import retrieval as R
 from corvina.operators.tables import current_chunks, numbered
-from corvina.session import new_folder, spread, table, written
+from corvina.session import spread, stored, table, written
 
 QUERY = "rimborso delle spese mediche dopo la denuncia del sinistro firmata"
 TOP_K, OVERSAMPLING = 12, 3
@@ -22,22 +22,9 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     return written(R.term_counts(_chunks(spark, d), "chunk_id", F.col("text")))
 
 
-_BUILT: dict[tuple, str] = {}
-
-
 def search_index(spark: SparkSession, d: str) -> R.Index:
-    """The BM25 index of the current chunks of ``d``.
-
-    Built by the first question of an application and kept in the shared folder for the others;
-    files added to the table or replaced by new ones make it be built again.
-    """
-    files = tuple(sorted(table(spark, d, "chunks").inputFiles()))
-    key = (spark.sparkContext.applicationId, d, files)
-    if key not in _BUILT:
-        path = new_folder(spark)
-        R.build_index(_terms(spark, d), path)
-        _BUILT[key] = path
-    return R.open_index(spark, _BUILT[key])
+    """The BM25 index of the current chunks of ``d``, stored by the first question."""
+    return R.open_index(spark, stored("bm25", [table(spark, d, "chunks")], lambda path: R.build_index(_terms(spark, d), path)))
 
 
 def _one(spark: SparkSession) -> DataFrame:
@@ -149,7 +136,7 @@ def diversified_results(spark: SparkSession, d: str) -> DataFrame:
     return R.diversified(rows).where(F.col("kept_rank") <= TOP_K).select(F.col("id").alias("chunk_id"), "rank", "kept_rank")
 
 
-def _retrieved(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+def retrieved(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
     """The fused pool above the floor, reranked by shared words and diversified: (id, kept_rank, score), at most 12."""
     pool = written(_fused(spark, d).drop("rank"))
     rows = R.lexical_hybrid(pool.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id").withColumn("query_text", F.lit(QUERY)))
@@ -162,7 +149,7 @@ def full_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid pool, floor, lexical rerank, diversification, whole citations and context blocks for one question."""
     chunks = current_chunks(spread(table(spark, d, "chunks").select("chunk_id", "document_id", "chunk_index", "text", "section_title", "char_start", "char_end", "page_start", "page_end", "created_at"))).where("text is not null")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "filename", F.col("page_count").alias("document_page_count"))
-    cited = _retrieved(spark, d, chunks).join(chunks.withColumnRenamed("chunk_id", "id"), "id").join(docs, "document_id", "left")
+    cited = retrieved(spark, d, chunks).join(chunks.withColumnRenamed("chunk_id", "id"), "id").join(docs, "document_id", "left")
     ref = T.reference(F.col("filename"), F.col("page_start"), F.col("page_end"), F.col("section_title"), F.col("chunk_index"))
     block = F.concat(F.lit("---\nFonte: "), ref, F.lit('\nEstratto: "'), T.quote(F.col("text")), F.lit('"\nTesto completo:\n'), F.col("text"))
     names = ["document_id", "filename", "text", "chunk_index", "char_start", "char_end", "page_start", "page_end", "document_page_count"]

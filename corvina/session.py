@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,6 +96,23 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(name: str, inputs: list[DataFrame], build: Callable[[str], None]) -> str:
+    """The folder of what ``build`` derives from tables, kept for the later queries of an application.
+
+    It is built by its first user, and again once the files of the tables are not the same.
+    """
+    spark = inputs[0].sparkSession
+    key = (spark.sparkContext.applicationId, name, *(tuple(sorted(i.inputFiles())) for i in inputs))
+    if key not in _STORED:
+        path = new_folder(spark)
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -1,4 +1,5 @@
 import io
+import uuid
 import zipfile
 from datetime import datetime
 
@@ -249,3 +250,16 @@ def test_index_of_an_empty_table(spark, tmp_path):
     retrieval.build_index(terms, str(tmp_path / "i"))
     index = retrieval.open_index(spark, str(tmp_path / "i"))
     assert index.postings.count() == 0 and index.stats.first().avg_len == 1.0
+
+
+def test_communities_keep_isolated_nodes_and_have_records(spark):
+    e = spark.createDataFrame([(a, b) for a, b in ("ab", "bc", "ca", "de", "ef", "fd", "cd")], "src string, dst string")
+    nodes = spark.createDataFrame([(x, x.upper()) for x in "abcdefg"], "id string, name string")
+    assigned = graph.communities(e, nodes)
+    rows = {(r.level, r.label): r for r in graph.community_records(assigned, e, nodes).collect()}
+    leaf = {k[1]: (r.entity_count, r.relation_count) for k, r in rows.items() if k[0] == "leaf"}
+    assert leaf == {"a": (3, 3), "d": (3, 3), "g": (1, 0)}
+    assert rows["leaf", "a"].summary == "[MODALITÀ TEST] Community a con entità: A, B, C."
+    assert rows["leaf", "a"].community_id == str(uuid.uuid5(uuid.NAMESPACE_DNS, "community-leaf-a"))
+    assert sum(r.entity_count for k, r in rows.items() if k[0] == "root") == 7
+    assert graph.communities(e.limit(0)).count() == 0
