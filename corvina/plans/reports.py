@@ -73,6 +73,18 @@ def usage_cost(spark: SparkSession, d: str) -> DataFrame:
     return per.select("*", models).select("source", "model", "input_tokens", "output_tokens", T.cost_usd(F.col("model"), F.col("input_tokens"), F.col("output_tokens")).alias("cost_usd"))
 
 
+#: Counted uses of models, by the phase of a job that makes them.
+USES = {"embeddings": "embedding", "extraction": "graph_indexing", "contextual_retrieval": "contextual_retrieval"}
+
+
+def usage_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Calls and tokens of each use of a model as one row; what never happened is 0."""
+    jobs = table(spark, d, "ingestion_jobs").distinct()
+    calls = [F.count_if(F.col("phase") == phase).alias(f"{use}_calls") for use, phase in USES.items()]
+    tokens = [F.coalesce(F.sum(F.when(F.col("phase") == phase, F.col("input_tokens"))), F.lit(0)).cast("bigint").alias(f"{use}_tokens") for use, phase in USES.items()]
+    return jobs.agg(*calls, *tokens)
+
+
 def ingestion_cost(spark: SparkSession, d: str) -> DataFrame:
     jobs = table(spark, d, "ingestion_jobs").distinct()
     return jobs.groupBy("status").agg(F.countDistinct("job_id").alias("jobs"), F.sum("input_tokens").alias("input_tokens"), F.round(F.sum("cost_estimate_usd"), 6).alias("cost_usd"), F.sum("chunk_count").alias("chunks"))
@@ -132,7 +144,7 @@ def document_lookup(spark: SparkSession, d: str) -> DataFrame:
     return R.owned(docs.where(F.col("doc_id") == key["doc_id"]), key["created_by"]).select("doc_id", "filename", "created_by").limit(1)
 
 
-QUERIES = {f.__name__: f for f in (status_counts, document_list, recent_jobs, latest_job_per_document, query_log_search, query_errors, kb_info, service_health, usage_cost, ingestion_cost, job_durations, schedulable_documents, content_hash_dedup, caller_sources, owner_check, merged_jobs, cascade_delete, document_lookup)}
+QUERIES = {f.__name__: f for f in (status_counts, document_list, recent_jobs, latest_job_per_document, query_log_search, query_errors, kb_info, service_health, usage_cost, usage_counters, ingestion_cost, job_durations, schedulable_documents, content_hash_dedup, caller_sources, owner_check, merged_jobs, cascade_delete, document_lookup)}
 
 _ONE = "(SELECT DISTINCT ON (log_id) * FROM query_logs)"
 _RATE = "CASE m WHEN 'gpt-4o' THEN {a} ELSE {b} END"
@@ -146,6 +158,7 @@ ORACLES = {
     "kb_info": "SELECT d.created_by, d.documents, coalesce(c.chunks, 0) AS chunks FROM (SELECT created_by, count(*) AS documents FROM documents GROUP BY 1) d LEFT JOIN (SELECT created_by, count(*) AS chunks FROM chunks JOIN documents ON doc_id = document_id GROUP BY 1) c USING (created_by)",
     "service_health": f"WITH l AS (SELECT * FROM {_ONE} WHERE tool_used IS NOT NULL) SELECT tool_used, max(created_at) AS last_check_at, coalesce(arg_max(latency_ms, (created_at, log_id)) > 1000, false) AS is_degraded, count(*) FILTER (latency_ms > 1000) AS slow, date_diff('microsecond', max(created_at), (SELECT max(created_at) FROM l)) / 1e6 > 60 AS is_stale FROM l GROUP BY 1",
     "usage_cost": f"SELECT source, m AS model, i AS input_tokens, o AS output_tokens, round(i / 1e6 * {_RATE.format(a='2.5e0', b='0.15e0')} + o / 1e6 * {_RATE.format(a='10e0', b='0.6e0')}, 6) AS cost_usd FROM (SELECT lower(trim(source)) AS source, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(output_tokens) AS BIGINT) AS o FROM {_ONE} GROUP BY 1), (VALUES ('gpt-4o'), ('gpt-4o-mini'), ('unlisted')) t(m)",
+    "usage_counters": "SELECT " + ", ".join(f"count(*) FILTER (phase = '{p}') AS {u}_calls, CAST(coalesce(sum(input_tokens) FILTER (phase = '{p}'), 0) AS BIGINT) AS {u}_tokens" for u, p in USES.items()) + " FROM (SELECT DISTINCT * FROM ingestion_jobs)",
     "ingestion_cost": "SELECT status, count(DISTINCT job_id) AS jobs, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, round(sum(cost_estimate_usd), 6) AS cost_usd, CAST(sum(chunk_count) AS BIGINT) AS chunks FROM (SELECT DISTINCT * FROM ingestion_jobs) GROUP BY 1",
     "job_durations": "SELECT phase, status, count(*) AS jobs, CAST(sum(floor(epoch(completed_at)) - floor(epoch(started_at))) AS BIGINT) AS seconds, count(*) FILTER (completed_at IS NULL) AS unfinished FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC NULLS LAST, completed_at DESC NULLS LAST, phase DESC NULLS LAST, status DESC NULLS LAST, started_at DESC NULLS LAST) AS rn FROM ingestion_jobs) WHERE rn = 1 GROUP BY 1, 2",
     "schedulable_documents": "SELECT doc_id, status, error_message IS NOT NULL AS has_error FROM documents WHERE status IN ('uploaded', 'error')",
