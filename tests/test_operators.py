@@ -3,6 +3,7 @@ import uuid
 import zipfile
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +264,37 @@ def test_communities_keep_isolated_nodes_and_have_records(spark):
     assert rows["leaf", "a"].community_id == str(uuid.uuid5(uuid.NAMESPACE_DNS, "community-leaf-a"))
     assert sum(r.entity_count for k, r in rows.items() if k[0] == "root") == 7
     assert graph.communities(e.limit(0)).count() == 0
+
+
+def test_best_of_many_questions_equal_the_ranked_scores(spark):
+    rng = np.random.default_rng(5)
+    vec = lambda n, per, name: spark.createDataFrame([(i, f"t{t}", float(rng.integers(1, 4)) / 8) for i in range(n) for t in rng.choice(40, per, replace=False)], f"{name} bigint, term string, weight double")
+    queries, postings = vec(90, 3, "query_id"), vec(700, 5, "id")
+    want = retrieval.ranked(retrieval.sparse_scores(queries, postings), 4, "score", "id", ["query_id"])
+    got = retrieval.sparse_best(queries, postings, 4, per_part=500, block=25)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) == 360
+    assert retrieval.sparse_best(queries.limit(0), postings, 4).count() == retrieval.sparse_best(queries, postings.limit(0), 4).count() == 0
+
+
+def test_questions_that_share_words_with_every_chunk_shuffle_no_scores(spark, tmp_path):
+    """600 questions with the words of 1,500 chunks are 900,000 scores; before, all of them were shuffled."""
+    from corvina.plans import search
+
+    d = str(tmp_path)
+    chunks = spark.range(1500).selectExpr("id chunk_id", "id document_id", "0 chunk_index", "concat('polizza ', substr(translate(cast(id * 7919 as string), '0123456789', 'abcdefghil'), 1, 3), 'xx sinistro') text", "cast(null as string) section_title", "1 page_start", "1 page_end", "timestamp'2024-01-01' created_at")
+    chunks.write.parquet(f"{d}/chunks.parquet")
+    logs = spark.range(600).selectExpr("id * 100 log_id", "concat('polizza sinistro ', translate(cast(id as string), '0123456789', 'abcdefghil'), 'yyy') query")
+    logs.write.parquet(f"{d}/query_logs.parquet")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+
+    def records() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = records()
+    out = search.log_search(spark, d).collect()
+    assert len(out) == 1800 and {r['rank'] for r in out} == {1, 2, 3}
+    assert records() - before < 200_000
