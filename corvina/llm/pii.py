@@ -54,6 +54,8 @@ INITIAL = re.compile(rf"(?<![\w.@/-])([A-Za-z])\.\s?((?:{PARTICLE})?)([{LETTER}]
 NEXT_GIVEN = re.compile(rf"\s{{1,2}}([{LETTER}]+)(?![{LETTER}])")
 NEXT_INITIAL = re.compile(r"\s([A-Z]\.)(?=\s)")
 TITLED = re.compile(rf"(?<![\w.])(?:[Ss]igg?\.(?:ra)?|[Ss]ignora?|[Dd]ott\.(?:ssa)?|[Dd]ottoressa|[Aa]vv\.|[Ii]ng\.|[Gg]eom\.|[Rr]ag\.|[Pp]rof\.(?:ssa)?|Mr\.?|Mrs\.?|Ms\.?|Miss|Dr\.?)\s([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{{2,}})\s((?:{PARTICLE})?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{{2,}}(?:-[{LETTER}]{{3,}})?)(?![{LETTER}'’@])")
+#: The words that ``TITLED`` begins with.
+TITLES = frozenset("sig sigg signor signora dott dottoressa avv ing geom rag prof mr mrs ms miss dr".split())
 #: Words before a name that are titles or functions and never its surname (fixed values).
 NO_SURNAME = frozenset("sig sigg signor signora signore dott dottor dottoressa avv ing geom rag prof mr mrs ms miss dr sono chiamo contattare con per dal del alla della name contact call from sir il la lo che non and with the for mister polizza modulo progetto policy module project claim file".split())
 
@@ -89,6 +91,7 @@ IDENTITY = re.compile(
     r"|[A-Z]{2} ?\d{7}|[A-Z]{2} ?\d{5} ?[A-Z]{2}|[a-z]{2}\d{5}[a-z]{2})(?![\w-])"
 )
 IDENTITY_LOW = re.compile(r"(?:(?<=documento )|(?<=passport )|(?<=passaporto )|(?<=identità )|(?<=fiscale )|(?<=document ))[a-z]{2} ?\d{7}(?!\w)")
+SEVEN_DIGITS = re.compile(r"\d{7}")
 
 HOMOGLYPHS = {  # look-alikes of other scripts, blanks and dashes (fixed values)
     **dict(zip("\u0430\u0435\u043e\u0440\u0441\u0445\u0443\u0456", "aeopcxyi")),
@@ -110,13 +113,14 @@ PLAIN = re.compile(r"^[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u20ac\u0
 
 def normalise(text: str) -> tuple[str, list[int]]:
     """(normalised text, for each of its characters and its end the place in ``text``)."""
-    norm, at = _normalised(text)
+    norm, at, _ = _normalised(text)
     return norm, list(at)
 
 
-def _normalised(text: str) -> tuple[str, Sequence[int]]:
-    """As ``normalise``; the places of a text that stays as it is are a range."""
-    if PLAIN.match(text):
+def _normalised(text: str) -> tuple[str, Sequence[int], list[str]]:
+    """As ``normalise``, with the words in lower case; the places of a text that stays as it is are a range."""
+    plain = PLAIN.match(text) is not None
+    if plain:
         norm, at = text, range(len(text) + 1)
     else:
         out: list[str] = []
@@ -132,12 +136,18 @@ def _normalised(text: str) -> tuple[str, Sequence[int]]:
                 at.append(i)
         at.append(len(text))
         norm = "".join(out)
+    lower = norm.lower()
+    words = WORD.findall(lower)
+    # In a plain text a word tells whether a pattern can match; others have letters that only patterns fold.
+    has_at = not plain or "@" in norm or "at" in words or "chiocciola" in lower
+    spelled = not plain or sum(map(DIGITS.__contains__, words)) >= 6
+    before = norm
     for rule, put in ((AT, "@"), (DOT, ".")):
-        if (rule is AT and HAS_AT.search(norm)) or (rule is DOT and "@" in norm):
+        if (rule is AT and has_at and HAS_AT.search(norm)) or (rule is DOT and "@" in norm):
             norm, at = _rewrite(norm, at, rule, lambda m, p=put: p)
-    if SPELLED.search(norm):
+    if spelled and SPELLED.search(norm):
         norm, at = _rewrite(norm, at, SPELLED, lambda m: "".join(DIGITS[w.lower()] for w in re.findall(r"[A-Za-z]+", m.group())))
-    return norm, at
+    return norm, at, words if norm == before else WORD.findall(norm.lower())
 
 
 def _rewrite(text: str, at: Sequence[int], rule: re.Pattern, put) -> tuple[str, list[int]]:
@@ -167,12 +177,12 @@ def _end(at: Sequence[int], text: str, end: int) -> int:
 
 def finds(text: str, common: frozenset | set, given_names: frozenset = GIVEN) -> list[tuple[int, int, str]]:
     """(start, end, kind) in ``text``, in order and apart."""
-    norm, at = _normalised(text)
+    norm, at, found = _normalised(text)
     lower = norm.lower()
-    words = set(WORD.findall(lower))
+    words = set(found)
     digit = re.search(r"\d", norm) is not None
     given = not given_names.isdisjoint(words)
-    titled = TITLED.search(norm) is not None
+    titled = not TITLES.isdisjoint(words) and TITLED.search(norm) is not None
     initial = INITIAL.search(norm) is not None
     street = digit and (not STREET_WORDS.isdisjoint(words) or any(s in lower for s in STREET_SHORT))
     street_en = digit and not STREET_EN_WORDS.isdisjoint(words)
@@ -199,10 +209,10 @@ def finds(text: str, common: frozenset | set, given_names: frozenset = GIVEN) ->
     for m in IDENTITY.finditer(norm):
         if free(*m.span()):
             taken.append((*m.span(), "identity"))
-    for m in IDENTITY_LOW.finditer(norm):
+    for m in IDENTITY_LOW.finditer(norm) if digit and SEVEN_DIGITS.search(norm) else ():
         if free(*m.span()):
             taken.append((*m.span(), "identity"))
-    for m in PHONE.finditer(norm):
+    for m in PHONE.finditer(norm) if digit else ():
         s = m.group()
         n = sum(c.isdigit() for c in s)
         if 8 <= n <= 14 and not DATE.match(s) and free(*m.span()) and not (CODE_BEFORE.search(norm[max(0, m.start() - 14) : m.start()]) and s.isdigit() and n < 9):

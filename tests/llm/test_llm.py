@@ -528,3 +528,31 @@ def test_reading_rows(spark):
     assert sorted(rows)[:3] == [(1, 1), (1, 1), (2, 4)] and {i for i, _ in rows} <= {1, 2, 7}
     assert reading.reading_levels(docs.limit(0), r).count() == 0
     assert reading.fit_ranker([], []).level(0.3) == 2 and reading.fit_ranker([easy], [3]).level(9.0) == 3
+
+
+def test_patterns_that_words_rule_out_are_not_tried(monkeypatch):
+    class Never:
+        def search(self, text):
+            raise AssertionError(text)
+
+    for name in ("HAS_AT", "SPELLED", "TITLED"):
+        monkeypatch.setattr(pii, name, Never())
+    assert pii.finds("La polizza n. 12 copre tre danni e due furti.", frozenset()) == []
+
+
+def test_ruling_patterns_out_by_words_loses_no_find(monkeypatch):
+    import re
+
+    class Every(frozenset):
+        def isdisjoint(self, other):
+            return False
+
+    parts = "Sig.ra|Dott.|Mr|MS.|Rossini|Verdelli|Anna|anna|at|AT|[at]|(at)|chiocciola|CHIOCCIOLA|punto|dot|uno|Due|tre|sei|OTTO|nine|oh|-|,|mail|esempio|it|documento|passport|ab1234567|AB 1234567|333 1234567|via Roma 12|_at|3sei|@|sig|Miss|fine.".split("|")
+    draw = random.Random(4)
+    texts = [draw.choice((" ", " ", "\n")).join(draw.choices(parts, k=draw.randint(1, 24))) for _ in range(4_000)]
+    texts += ["chiama tre tre tre uno due sei otto nove uno due", "mail anna at esempio dot it", "Sig.ra Orsola Verdelli", "passport ab 1234567"]
+    gated = [pii.finds(t, frozenset()) for t in texts]
+    monkeypatch.setattr(pii, "PLAIN", re.compile("(?!)"))
+    monkeypatch.setattr(pii, "TITLES", Every())
+    monkeypatch.setattr(pii, "SEVEN_DIGITS", re.compile(""))
+    assert gated == [pii.finds(t, frozenset()) for t in texts] and all(gated[-4:])
