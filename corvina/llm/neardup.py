@@ -26,8 +26,11 @@ take part in nothing. Equal texts under different ids are copies. An empty table
 from __future__ import annotations
 
 import math
-import re
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -47,58 +50,90 @@ PER_TASK = 1_000_000
 PAIRS_PER_BLOCK, CHARS_PER_BLOCK = 100_000, 64_000_000
 #: Sequences after a leading one are counted up to this many; it stands for any larger number too.
 REST_OPEN = 65_535
-WORDS = re.compile("[^\\W_]+|\x01")
+#: Characters of texts that are hashed at once.
+CHARS_AT_ONCE = 300_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 2_000_000:
-            self.clear()
-        value = self[word] = 0 if word == "\x01" else xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) or 1
-        return value
-
-
-_hashes = _WordHashes()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(1)) * MIX[0]
+    x ^= x >> np.uint64(32)
+    x *= MIX[1]
+    return x ^ (x >> np.uint64(29))
+
+
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point: whether its small letter belongs to words, and that letter's number in their hashes."""
+    small = [chr(c).lower()[0] for c in range(sys.maxunicode + 1)]
+    return np.array([c.isalnum() for c in small]), _mixed(np.array([ord(c) for c in small]))
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the words of all texts, and where each text's words begin and the last one's end."""
+    joined = "\x01".join(texts)
+    if "\u0130" in joined or "\u03a3" in joined:  # the only letters whose small form is longer or depends on what is beside them
+        joined = joined.lower()
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    of_word, number = _letters()
+    inside = of_word[code]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2)
+    if not len(edge):
+        return np.empty(0, np.uint64), [0] * (len(texts) + 1)
+    cuts = np.searchsorted(edge[:, 0], np.flatnonzero(code == 1)).tolist()
+    length = edge[:, 1] - edge[:, 0]
+    first = _firsts(length)
+    letters = number[code[inside]]
+    # A letter counts by its place in the word, so the letters of all words are summed at once.
+    letters *= (_mixed(np.arange(int(length.max())) + len(number)) | np.uint64(1))[np.arange(len(letters)) - np.repeat(first, length)]
+    return _mixed(np.add.reduceat(letters, first)), [0, *cuts, len(edge)]
 
 
 def shingle_sets(texts: list[str | None], shingle: int, least_words: int) -> list[np.ndarray | None]:
     """The sorted distinct sequence hashes of each text; None where a text takes no part."""
     clean = [(t.replace("\x01", " ") if "\x01" in t else t) if t else "" for t in texts]
-    words = WORDS.findall("\x01".join(clean).lower())
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    ends = np.append(np.flatnonzero(h == 0), len(h))
-    starts = np.append(0, ends[:-1] + 1)
-    n = len(h) - shingle + 1
-    if n > 0:
-        s = h[:n].copy()
-        for j in range(1, shingle):
-            s *= MIX[0]
-            s ^= s >> np.uint64(31)
-            s += h[j : n + j]
-        s *= MIX[1]
-        s ^= s >> np.uint64(29)
-        s *= MIX[2]
-        s ^= s >> np.uint64(32)
+    block = (np.cumsum([len(t) for t in clean], dtype=np.int64) // CHARS_AT_ONCE).tolist()
     out: list[np.ndarray | None] = []
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        if b - a < max(least_words, shingle):
-            out.append(None)
-            continue
-        x = np.sort(s[a : b - shingle + 1])
-        out.append(x[np.append(True, x[1:] != x[:-1])])
+    while len(out) < len(clean):
+        h, ends = _words(clean[len(out) : bisect_right(block, block[len(out)])])
+        n = len(h) - shingle + 1
+        if n > 0:
+            s = h[:n].copy()
+            for j in range(1, shingle):
+                s *= MIX[0]
+                s ^= s >> np.uint64(31)
+                s += h[j : n + j]
+            s *= MIX[1]
+            s ^= s >> np.uint64(29)
+            s *= MIX[2]
+            s ^= s >> np.uint64(32)
+        for a, b in pairwise(ends):
+            if b - a < max(least_words, shingle):
+                out.append(None)
+                continue
+            x = np.sort(s[a : b - shingle + 1])
+            new = np.ones(len(x), bool)
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            out.append(x[new])
     return out
 
 
-def set_hash(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
+def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set; no set is empty."""
+    if not sets:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    s = np.concatenate(sets)
+    first = _firsts(np.array([len(x) for x in sets]))
     x = s * MIX[0]
     x ^= x >> np.uint64(32)
     y = (s ^ MIX[2]) * MIX[1]
     y ^= y >> np.uint64(31)
-    return int(x.sum(dtype=np.uint64).view(np.int64)), int(y.sum(dtype=np.uint64).view(np.int64))
+    return np.add.reduceat(x, first).view(np.int64), np.add.reduceat(y, first).view(np.int64)
+
+
+def _firsts(times: np.ndarray) -> np.ndarray:
+    """Where each part begins, of parts of these lengths."""
+    return np.cumsum(times) - times
 
 
 def overlap_needed(a, b, threshold: float):
@@ -113,15 +148,14 @@ def _profile(rows: DataFrame, shingle: int, least_words: int) -> DataFrame:
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int32)
         names = ["id", "hi", "lo", "n", "block", "counts"]
         for b in batches:
-            ids, hi, lo, n, every = [], [], [], [], []
-            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), shingle, least_words)):
-                if s is not None:
-                    x, y = set_hash(s)
-                    ids.append(i), hi.append(x), lo.append(y), n.append(len(s)), every.append(s)
-            if every:
-                counts += np.bincount((np.concatenate(every) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+            sets = shingle_sets(b.column(1).to_pylist(), shingle, least_words)
+            ids = [i for i, x in zip(b.column(0).to_pylist(), sets) if x is not None]
+            sets = [x for x in sets if x is not None]
+            hi, lo = set_hashes(sets)
+            if sets:
+                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
             k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hi), pa.array(lo), pa.array([len(x) for x in sets], pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         parts = counts.reshape(BLOCKS, -1)
         used = [i for i in range(BLOCKS) if parts[i].any()]
         k = len(used)
@@ -163,31 +197,39 @@ class _Counts:
 def _leading(rows: DataFrame, counts, shingle: int, least_words: int, threshold: float) -> DataFrame:
     """One row per class and task: group key, hash, size, bit row and leading sequences."""
 
+    def rows_at_once(sets: list[np.ndarray], keys: list[tuple[int, int]], freq: _Counts, out: list[tuple]) -> None:
+        size = np.array([len(s) for s in sets])
+        every = np.concatenate(sets)
+        bits = np.zeros((len(sets), SKETCH_BITS), np.uint8)
+        bits[np.repeat(np.arange(len(sets)), size), ((every & np.uint64(0xFFFFFFFF)) % np.uint64(SKETCH_BITS)).astype(np.int64)] = 1
+        packed, width = np.packbits(bits, axis=1).tobytes(), SKETCH_BITS // 8
+        counted = freq.of(every)
+        for i, (s, key, a) in enumerate(zip(sets, keys, _firsts(size).tolist())):
+            f = counted[a : a + len(s)]
+            lead = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1
+            order = np.argsort(f, kind="stable")[:lead]  # equal counts in the order of the hashes
+            # A bucket counted once holds a sequence of this text alone.
+            alone = f[order] <= 1
+            tokens = s[order[~alone]]
+            if not len(tokens):
+                continue
+            anchor = int(tokens[0].view(np.int64))
+            salt = (key[1] & 0xFFFFFFFF) % int(freq.splits(tokens[:1], HOT)[0])
+            out.append((anchor, salt, len(s), key[1], packed[i * width : (i + 1) * width], tokens.tobytes(), np.packbits(~alone).tobytes()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = counts.value
         seen: set[tuple[int, int]] = set()
         for b in batches:
             out: list[tuple] = []
-            for s in shingle_sets(b.column(0).to_pylist(), shingle, least_words):
-                if s is None or (key := set_hash(s)) in seen:
-                    continue
-                seen.add(key)
-                f = freq.of(s)
-                lead = len(s) - math.ceil(threshold * len(s) - 1e-9) + 1
-                order = np.argsort(f, kind="stable")[:lead]  # equal counts in the order of the hashes
-                # A bucket counted once holds a sequence of this text alone.
-                shared = np.flatnonzero(f[order] > 1)
-                if not len(shared):
-                    continue
-                order = order[shared]
-                tokens = s[order]
-                at = np.zeros(lead, dtype=np.uint8)
-                at[shared] = 1  # which of the leading sequences were kept
-                bits = np.zeros(SKETCH_BITS, dtype=np.uint8)
-                bits[((s & np.uint64(0xFFFFFFFF)) % np.uint64(SKETCH_BITS)).astype(np.int64)] = 1
-                anchor = int(tokens[0].view(np.int64))
-                salt = (key[1] & 0xFFFFFFFF) % int(freq.splits(tokens[:1], HOT)[0])
-                out.append((anchor, salt, len(s), key[1], np.packbits(bits).tobytes(), tokens.tobytes(), np.packbits(at).tobytes()))
+            sets = [s for s in shingle_sets(b.column(0).to_pylist(), shingle, least_words) if s is not None]
+            new, keys = [], []
+            for s, key in zip(sets, zip(*(h.tolist() for h in set_hashes(sets)))):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(s), keys.append(key)
+            for k in range(0, len(new), 1_000):
+                rows_at_once(new[k : k + 1_000], keys[k : k + 1_000], freq, out)
             cols = list(zip(*out)) if out else [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "salt", "n", "lo", "bits", "tokens", "places"])
@@ -387,10 +429,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least_words: int,
         for batch in batches:
             out: list[tuple] = []
             own = shingle_sets(batch.column("text").to_pylist(), shingle, least_words)
+            hashes = iter(set_hashes([s for s in own if s is not None])[1].tolist())
             for place, side, x, s, others in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "lo")), own, batch.column("others").to_pylist()):
                 if place != at:
                     at, sets, met = place, {}, set()
-                if s is None or set_hash(s)[1] != x:
+                if s is None or next(hashes) != x:
                     continue  # another text under the same id
                 if side == 0:
                     sets[x] = s

@@ -232,6 +232,43 @@ def test_very_long_texts_are_compared(spark, monkeypatch):
     assert {tuple(r) for r in neardup.expanded_pairs(members, links).collect()} == brute(rows, 5, 0.8, 0) == {(0, 1)}
 
 
+def test_sequences_follow_the_rule_of_words():
+    import regex
+
+    rng = random.Random(8)
+    texts = ["", None, "x", "a\x01b c d", "ΟΔΟΣ Σας straße İstanbul ½ ² _a_b_ c", "\U0001d400 \U0001f600 中文 字 ée e\u0301", "w" * 5_000 + " b c", "W" * 5_001 + " b c"]
+    texts += ["".join(rng.choice("aB_ \x01é½ \n9Σ-'́中") for _ in range(rng.randrange(60))) for _ in range(500)]
+    sets = neardup.shingle_sets(texts, 2, 0)
+    ours, theirs = {}, {}
+    for t, s in zip(texts, sets):
+        w = regex.findall(r"[\p{L}\p{N}]+", (t or "").replace("\x01", " ").lower())
+        want = {(a, b) for a, b in zip(w, w[1:])}
+        assert (s is None) == (len(w) < 2) and (s is None or len(s) == len(want))
+        if s is not None:
+            ours.setdefault(s.tobytes(), len(ours)), theirs.setdefault(frozenset(want), len(theirs))
+            assert ours[s.tobytes()] == theirs[frozenset(want)]
+
+
+def test_words_are_hashed_together():
+    """The work per word is not done in Python, where it took most of the time of p5."""
+    import sys
+
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += 1
+
+    texts = [" ".join(f"w{i * 500 + k}" for k in range(500)) for i in range(20)]
+    neardup.shingle_sets(texts, 3, 0)
+    sys.setprofile(count)
+    try:
+        neardup.shingle_sets([t.replace("w", "v") for t in texts], 3, 0)
+    finally:
+        sys.setprofile(None)
+    assert calls < 5_000
+
+
 # --- 2 --------------------------------------------------------------------------------------
 
 
