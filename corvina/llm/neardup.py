@@ -47,6 +47,8 @@ GROUP = 64
 HOT = 50_000
 #: Postings that one task compares, pairs and characters of texts in one block of the last comparison.
 PER_TASK = 1_000_000
+#: Pairs of postings that are compared at once.
+PAIRS_AT_ONCE = 200_000
 PAIRS_PER_BLOCK, CHARS_PER_BLOCK = 100_000, 64_000_000
 #: Sequences after a leading one are counted up to this many; it stands for any larger number too.
 REST_OPEN = 65_535
@@ -313,85 +315,98 @@ def _post(leading: DataFrame, counts, parts: int) -> DataFrame:
     return placed.mapInArrow(run, PACKED)
 
 
-def _may_overlap(bits_a: np.ndarray, n_a: np.ndarray, bits_b: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Whether a's set can share ``need`` sequences with what b's bit row stands for."""
-    return n_a - np.bitwise_count(bits_a & ~bits_b).sum(axis=1, dtype=np.int64) >= need
-
-
 def _candidates(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Pairs of class hashes that pass all bounds, among the groups of one task."""
     key = np.frombuffer(b"".join(f["token"]), np.uint64)
     rest = np.frombuffer(b"".join(f["rest"]), np.uint16).astype(np.int64)
-    size = np.frombuffer(b"".join(f["sizes"]), np.uint8).astype(np.int64)
+    size = np.frombuffer(b"".join(f["sizes"]), np.uint8).astype(np.int32)
     lo = np.frombuffer(b"".join(f["lo"]), np.int64)
-    n = np.frombuffer(b"".join(f["n"]), np.int32).astype(np.int64)
+    n = np.frombuffer(b"".join(f["n"]), np.int32)
     bits = np.frombuffer(b"".join(f["bits"]), np.uint64).reshape(-1, SKETCH_BITS // 64)
     offsets = np.append(0, np.cumsum([len(x) for x in f["sizes"]])[:-1])
-    holder = np.concatenate([np.frombuffer(x, np.uint16 if len(x) * 4 == len(k) else np.uint32).astype(np.int64) + o for x, k, o in zip(f["holder"], f["token"], offsets)])
-    first = np.append(0, np.cumsum(size)[:-1]).astype(np.int64)
-    union = np.bitwise_or.reduceat(bits, first, axis=0)
+    holder = np.concatenate([np.frombuffer(x, np.uint16 if len(x) * 4 == len(k) else np.uint32).astype(np.int32) + np.int32(o) for x, k, o in zip(f["holder"], f["token"], offsets)])
+    first = _firsts(size)
+    union = np.ascontiguousarray(np.bitwise_or.reduceat(bits, first, axis=0).T)
+    bits = np.ascontiguousarray(bits.T)
     least, most = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
     share = threshold / (1 + threshold)
 
     order = np.lexsort((least[holder], key))
     key, holder, rest = key[order], holder[order], rest[order]
-    small, large = least[holder], most[holder]
-    # The largest partner that leaves enough overlap; a number of following sequences that did not fit bounds nothing.
-    slack = np.where(rest >= REST_OPEN, np.inf, (rest + 1 - share * small + 1e-9) / share)
-    run_start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    run = np.repeat(np.arange(len(run_start)), np.diff(np.append(run_start, len(key))))
-    rank = run.astype(np.int64) * 2**31 + small
-    # Partners come before a posting in its run and are not much smaller.
-    low = np.searchsorted(rank, run.astype(np.int64) * 2**31 + np.ceil(threshold * small / 1.25 - 1e-9).astype(np.int64))
-    high = np.minimum(np.arange(len(key)), np.searchsorted(rank, run.astype(np.int64) * 2**31 + np.clip(np.floor(slack), 0, 2**31 - 1).astype(np.int64), side="right"))
-    width = np.maximum(high - low, 0)
+    small = least[holder]
+
+    def partners(rest: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The largest partner that leaves enough overlap; a number of following sequences that did not fit bounds nothing."""
+        return np.clip(np.floor(np.where(rest >= REST_OPEN, np.inf, (rest + 1 - share * of + 1e-9) / share)), 0, 2**31 - 1).astype(np.int32)
+
+    slack = partners(rest, small)
+    rank = (np.cumsum(np.append(True, key[1:] != key[:-1])) - 1) * 2**31
+    # Partners come before a posting in its run, so only what bears one of its own size or more can be a partner.
+    early = np.flatnonzero(slack >= small)
+    before = np.searchsorted(early, np.arange(len(key)))
+    early_rank, early_small, early_slack, early_holder = (rank + small)[early], small[early], slack[early], holder[early]
+    early_large, early_union = most[early_holder], union[:, early_holder]
+    # Each class of a posting is held against the groups of its partners, which are not much smaller either.
+    times = size[holder]
+    own = np.repeat(np.arange(len(key), dtype=np.int32), times)
+    q = np.repeat(first[holder], times) + _ranges(times)
+    low = np.searchsorted(early_rank, rank + np.ceil(threshold * small / 1.25 - 1e-9).astype(np.int64))[own]
+    high = np.minimum(before[own], np.searchsorted(early_rank, rank[own] + partners(rest[own], n[q]), side="right"))
+    todo = np.flatnonzero(high > low)
+    q, low, width = q[todo], low[todo], (high - low)[todo]
 
     found: list[np.ndarray] = []
 
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
-        x, y = lo[a], lo[b]
-        differ = x != y
-        found.append(np.stack([np.minimum(x, y)[differ], np.maximum(x, y)[differ]], axis=1))
+    def over(bits_a: np.ndarray, bits_b: np.ndarray, of_a, of_b, spare: np.ndarray) -> np.ndarray:
+        """Places of the pairs in which no more than ``spare`` bits of a's row are surely missing in b's."""
+        left, miss = np.arange(len(spare)), np.zeros(len(spare), np.int16)
+        for k in range(len(bits_a)):
+            miss += np.bitwise_count(of_a(bits_a[k], left) & ~of_b(bits_b[k], left))
+            if k >= 2 or len(bits_a) == k + 1:  # before, few pairs are over
+                ok = np.flatnonzero(miss <= spare)
+                left, miss, spare = left[ok], miss[ok], spare[ok]
+        return left
+
+    def may_overlap(a: np.ndarray, b: np.ndarray, spare: np.ndarray, bits_b: np.ndarray = bits) -> np.ndarray:
+        return over(bits, bits_b, lambda x, left: x[a[left]], lambda x, left: x[b[left]], spare)
 
     def open_groups(q: np.ndarray, group: np.ndarray) -> None:
         """q: classes; group: the groups whose members they are held against."""
-        need = overlap_needed(n[q], least[group], threshold)
-        ok = _may_overlap(bits[q], n[q], union[group], need)
-        q, group = q[ok], group[ok]
-        if not len(q):
-            return
         times = size[group]
         d = np.repeat(first[group], times) + _ranges(times)
         q = np.repeat(q, times)
+        ok = (np.minimum(n[q], n[d]) >= threshold * np.maximum(n[q], n[d]) - 1e-9) & (lo[q] != lo[d])
+        q, d = q[ok], d[ok]
         need = overlap_needed(n[q], n[d], threshold)
-        ok = (np.minimum(n[q], n[d]) >= threshold * np.maximum(n[q], n[d]) - 1e-9) & (q != d)
+        ok = may_overlap(q, d, n[q] - need)
         q, d, need = q[ok], d[ok], need[ok]
-        ok = _may_overlap(bits[q], n[q], bits[d], need) & _may_overlap(bits[d], n[d], bits[q], need)
-        keep(q[ok], d[ok])
+        ok = may_overlap(d, q, n[d] - need)
+        x, y = lo[q[ok]], lo[d[ok]]
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
 
-    todo = np.flatnonzero(width)
-    total = np.cumsum(width[todo])
+    total = np.cumsum(width)
     at = 0
-    while at < len(todo):
-        # Blocks of postings, about two million pairs at a time; a longer row is cut too.
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, side="right")))
-        i = todo[at:stop]
+    while at < len(q):
+        # Blocks of classes, as many pairs at a time as a core's cache holds; a longer row is cut too.
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        p, l, w = q[at:stop], low[at:stop], width[at:stop]
         at = stop
-        for cut in range(0, int(width[i].max()) if len(i) == 1 else 1, 2_000_000):
-            w = np.minimum(width[i] - cut, 2_000_000) if len(i) == 1 else width[i]
-            j = np.repeat(low[i] + cut, w) + _ranges(w)
-            ii = np.repeat(i, w)
-            ok = (slack[j] >= small[ii]) & (large[j] >= threshold * small[ii] - 1e-9)
-            a, b = holder[ii[ok]], holder[j[ok]]
-            if not len(a):
-                continue
-            a, b = a[a != b], b[a != b]
-            times = size[a]
-            open_groups(np.repeat(first[a], times) + _ranges(times), np.repeat(b, times))
+        for cut in range(0, int(w[0]) if len(p) == 1 else 1, PAIRS_AT_ONCE):
+            w_now = np.minimum(w - cut, PAIRS_AT_ONCE) if len(p) == 1 else w
+            j = np.repeat(l + cut - _firsts(w_now), w_now)
+            j += np.arange(len(j))
+            i = np.repeat(np.arange(len(p)), w_now)
+            n_now = n[p][i]
+            ok = np.flatnonzero((early_slack[j] >= n_now) & (early_large[j] >= threshold * n_now - 1e-9))
+            i, j, n_now = i[ok], j[ok], n_now[ok]
+            ok = over(bits[:, p], early_union, lambda x, left: x[i[left]], lambda x, left: x[j[left]], n_now - overlap_needed(n_now, early_small[j], threshold))
+            open_groups(p[i[ok]], early_holder[j[ok]])
     inner = np.flatnonzero(size > 1)
     for k in range(0, len(inner), 20_000):
         g = inner[k : k + 20_000]
-        open_groups(np.repeat(first[g], size[g]) + _ranges(size[g]), np.repeat(g, size[g]))
+        a, b = np.repeat(first[g], size[g]) + _ranges(size[g]), np.repeat(g, size[g])
+        ok = may_overlap(a, b, n[a] - overlap_needed(n[a], least[b], threshold), union)
+        open_groups(a[ok], b[ok])
     pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
     a, b = pairs[:, 0], pairs[:, 1]
     order = np.lexsort((b, a))
@@ -402,8 +417,7 @@ def _candidates(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 def _ranges(times: np.ndarray) -> np.ndarray:
     """0..t-1 for each t."""
-    ends = np.cumsum(times)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times)
+    return np.arange(int(times.sum())) - np.repeat(_firsts(times), times)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least_words: int, threshold: float) -> DataFrame:

@@ -269,6 +269,31 @@ def test_words_are_hashed_together():
     assert calls < 5_000
 
 
+def test_postings_that_no_pair_can_need_are_not_paired(monkeypatch):
+    """A sequence so late in the smaller set that even a set of that size could not reach the threshold."""
+    sizes = [80] * 300 + [120] * 300
+    rest = [55] * 300 + [78] * 300
+    frame = pd.DataFrame({
+        "token": [np.full(600, 7, np.uint64).tobytes()],
+        "holder": [np.arange(600, dtype=np.uint16).tobytes()],
+        "rest": [np.array(rest, np.uint16).tobytes()],
+        "sizes": [np.ones(600, np.uint8).tobytes()],
+        "lo": [np.arange(600, dtype=np.int64).tobytes()],
+        "n": [np.array(sizes, np.int32).tobytes()],
+        "bits": [b"\xff" * (600 * neardup.SKETCH_BITS // 8)],
+    })
+    longest, repeat = 0, np.repeat
+
+    def counted(*args, **named):
+        nonlocal longest
+        out = repeat(*args, **named)
+        longest = max(longest, len(out))
+        return out
+
+    monkeypatch.setattr(np, "repeat", counted)
+    assert len(neardup._candidates(frame, 0.6)) == 0 and longest <= 600
+
+
 # --- 2 --------------------------------------------------------------------------------------
 
 
