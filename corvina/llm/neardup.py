@@ -10,6 +10,8 @@ class, and only classes are compared.
   not less right; a bucket counts as hot by what it holds more than the middle one.
 * Classes with the same rarest shared sequence form a group of up to 64 similar classes. The
   matrix holds the union of each group's sequences as a bit row.
+* Bit rows of long texts are up to eight times as long, or they would be full and bound nothing;
+  two rows are compared at the length of the shorter one.
 * A leading sequence brings groups together. For each class of one and the bit row of the
   other the overlap is bounded: a sequence whose bit is missing is surely not in the group.
   Only qualifying groups are opened, and their members bounded in the same way.
@@ -42,6 +44,8 @@ from corvina.session import table, written
 
 BUCKET_BITS, BLOCKS = 22, 64
 SKETCH_BITS = 320
+#: Sequences that a bit row of that many bits serves; rows of longer texts are doubled, at most so often.
+FULL_ROW, MOST_LEVELS = 200, 3
 GROUP = 64
 #: Rows of one group or sequence beyond which it is split.
 HOT = 50_000
@@ -138,6 +142,11 @@ def _firsts(times: np.ndarray) -> np.ndarray:
     return np.cumsum(times) - times
 
 
+def _levels(n: np.ndarray) -> np.ndarray:
+    """How often the bit row of a set of this size is doubled, so that those of long texts are not full."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / FULL_ROW)), 0, MOST_LEVELS).astype(np.int64)
+
+
 def overlap_needed(a, b, threshold: float):
     """The least overlap of two sets of these sizes that reaches the threshold."""
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
@@ -202,9 +211,12 @@ def _leading(rows: DataFrame, counts, shingle: int, least_words: int, threshold:
     def rows_at_once(sets: list[np.ndarray], keys: list[tuple[int, int]], freq: _Counts, out: list[tuple]) -> None:
         size = np.array([len(s) for s in sets])
         every = np.concatenate(sets)
-        bits = np.zeros((len(sets), SKETCH_BITS), np.uint8)
-        bits[np.repeat(np.arange(len(sets)), size), ((every & np.uint64(0xFFFFFFFF)) % np.uint64(SKETCH_BITS)).astype(np.int64)] = 1
-        packed, width = np.packbits(bits, axis=1).tobytes(), SKETCH_BITS // 8
+        width = SKETCH_BITS << _levels(size)
+        row = _firsts(width)
+        bits = np.zeros(int(width.sum()), np.uint8)
+        bits[np.repeat(row, size) + ((every & np.uint64(0xFFFFFFFF)) % np.repeat(width, size).astype(np.uint64)).astype(np.int64)] = 1
+        packed = np.packbits(bits).tobytes()
+        row, width = (row // 8).tolist(), (width // 8).tolist()
         counted = freq.of(every)
         for i, (s, key, a) in enumerate(zip(sets, keys, _firsts(size).tolist())):
             f = counted[a : a + len(s)]
@@ -217,7 +229,7 @@ def _leading(rows: DataFrame, counts, shingle: int, least_words: int, threshold:
                 continue
             anchor = int(tokens[0].view(np.int64))
             salt = (key[1] & 0xFFFFFFFF) % int(freq.splits(tokens[:1], HOT)[0])
-            out.append((anchor, salt, len(s), key[1], packed[i * width : (i + 1) * width], tokens.tobytes(), np.packbits(~alone).tobytes()))
+            out.append((anchor, salt, len(s), key[1], packed[row[i] : row[i] + width[i]], tokens.tobytes(), np.packbits(~alone).tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = counts.value
@@ -265,7 +277,7 @@ def _post(leading: DataFrame, counts, parts: int) -> DataFrame:
             tokens = [np.frombuffer(x, np.uint64) for x in b.column("tokens").to_pylist()]
             places = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))) for x in b.column("places").to_pylist()]
             rests = [np.minimum(m - 1 - x, REST_OPEN).astype(np.uint16) for m, x in zip(n.tolist(), places)]
-            bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(-1, SKETCH_BITS // 8)
+            bits = b.column("bits").to_pylist()
             t_all, r_all, g_all = [], [], []
             for g, members in enumerate(groups):
                 if len(members) == 1:
@@ -296,6 +308,7 @@ def _post(leading: DataFrame, counts, parts: int) -> DataFrame:
                         holders.append(g[k : k + 1]), rest.append(r[k : k + 1])
                 key, g, r = np.concatenate(keys), np.concatenate(holders), np.concatenate(rest)
             part = ((key * MIX[0]) >> np.uint64(33)).astype(np.int64) % parts
+            key = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # enough in one part; a key of two sequences only adds pairs to compare
             order = np.argsort(part, kind="stable")
             key, g, r, part = key[order], g[order], r[order], part[order]
             edges = np.searchsorted(part, np.arange(parts + 1))
@@ -307,7 +320,7 @@ def _post(leading: DataFrame, counts, parts: int) -> DataFrame:
                     continue
                 held, where = np.unique(g[a:z], return_inverse=True)
                 own = np.concatenate([member[first[x] : first[x] + size[x]] for x in held])
-                rows.append((p, key[a:z].tobytes(), where.astype(small).tobytes(), r[a:z].tobytes(), size[held].astype(np.uint8).tobytes(), lo[own].tobytes(), n[own].astype(np.int32).tobytes(), bits[own].tobytes()))
+                rows.append((p, key[a:z].tobytes(), where.astype(small).tobytes(), r[a:z].tobytes(), size[held].astype(np.uint8).tobytes(), lo[own].tobytes(), n[own].astype(np.int32).tobytes(), b"".join([bits[i] for i in own.tolist()])))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=[x.split()[0] for x in PACKED.split(", ")])
 
@@ -317,14 +330,25 @@ def _post(leading: DataFrame, counts, parts: int) -> DataFrame:
 
 def _candidates(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Pairs of class hashes that pass all bounds, among the groups of one task."""
-    key = np.frombuffer(b"".join(f["token"]), np.uint64)
+    key = np.frombuffer(b"".join(f["token"]), np.uint32)
     rest = np.frombuffer(b"".join(f["rest"]), np.uint16).astype(np.int64)
     size = np.frombuffer(b"".join(f["sizes"]), np.uint8).astype(np.int32)
     lo = np.frombuffer(b"".join(f["lo"]), np.int64)
     n = np.frombuffer(b"".join(f["n"]), np.int32)
-    bits = np.frombuffer(b"".join(f["bits"]), np.uint64).reshape(-1, SKETCH_BITS // 64)
+    rows = np.frombuffer(b"".join(f["bits"]), np.uint64)
+    level = _levels(n)
+    row = _firsts((SKETCH_BITS // 64) << level)
+    # wide[k]: rows of the classes that were doubled k times or more, folded to that length.
+    held = [np.flatnonzero(level >= k) for k in range(int(level.max()) + 1)]
+    wide = [np.empty((len(x), (SKETCH_BITS // 64) << k), np.uint64) for k, x in enumerate(held)]
+    for c, x in enumerate(held):
+        x = x[level[x] == c]
+        own = rows[row[x][:, None] + np.arange((SKETCH_BITS // 64) << c)]
+        for k in range(c + 1):
+            wide[k][np.searchsorted(held[k], x)] = np.bitwise_or.reduce(own.reshape(len(x), 1 << (c - k), (SKETCH_BITS // 64) << k), axis=1)
+    bits = wide[0]
     offsets = np.append(0, np.cumsum([len(x) for x in f["sizes"]])[:-1])
-    holder = np.concatenate([np.frombuffer(x, np.uint16 if len(x) * 4 == len(k) else np.uint32).astype(np.int32) + np.int32(o) for x, k, o in zip(f["holder"], f["token"], offsets)])
+    holder = np.concatenate([np.frombuffer(x, np.uint16 if len(x) * 2 == len(k) else np.uint32).astype(np.int32) + np.int32(o) for x, k, o in zip(f["holder"], f["token"], offsets)])
     first = _firsts(size)
     union = np.ascontiguousarray(np.bitwise_or.reduceat(bits, first, axis=0).T)
     bits = np.ascontiguousarray(bits.T)
@@ -381,6 +405,14 @@ def _candidates(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
         ok = may_overlap(q, d, n[q] - need)
         q, d, need = q[ok], d[ok], need[ok]
         ok = may_overlap(d, q, n[d] - need)
+        q, d, need = q[ok], d[ok], need[ok]
+        common = np.minimum(level[q], level[d])
+        ok = common == 0
+        for k in range(1, len(wide)):
+            x = np.flatnonzero(common == k)
+            a, b = wide[k][np.searchsorted(held[k], q[x])], wide[k][np.searchsorted(held[k], d[x])]
+            miss = [n[of[x]] - np.bitwise_count(i & ~o).sum(axis=1, dtype=np.int64) for of, i, o in ((q, a, b), (d, b, a))]
+            ok[x] = np.minimum(*miss) >= need[x]
         x, y = lo[q[ok]], lo[d[ok]]
         found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
 

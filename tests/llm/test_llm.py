@@ -274,7 +274,7 @@ def test_postings_that_no_pair_can_need_are_not_paired(monkeypatch):
     sizes = [80] * 300 + [120] * 300
     rest = [55] * 300 + [78] * 300
     frame = pd.DataFrame({
-        "token": [np.full(600, 7, np.uint64).tobytes()],
+        "token": [np.full(600, 7, np.uint32).tobytes()],
         "holder": [np.arange(600, dtype=np.uint16).tobytes()],
         "rest": [np.array(rest, np.uint16).tobytes()],
         "sizes": [np.ones(600, np.uint8).tobytes()],
@@ -294,6 +294,15 @@ def test_postings_that_no_pair_can_need_are_not_paired(monkeypatch):
     assert len(neardup._candidates(frame, 0.6)) == 0 and longest <= 600
 
 
+def test_long_texts_that_share_phrases_are_no_candidates(spark):
+    rng = random.Random(6)
+    phrases = [" ".join(f"w{rng.randrange(5_000)}" for _ in range(10)) for _ in range(400)]
+    rows = spark.createDataFrame([(i, " ".join(rng.sample(phrases, 100))) for i in range(30)], "id long, text string")
+    counts = spark.sparkContext.broadcast(neardup._Counts(neardup._bucket_counts(neardup._profile(rows, 3, 0))))
+    posted = neardup._post(neardup._leading(rows, counts, 3, 0, 0.6), counts, 1).toPandas()
+    assert posted["sizes"].map(len).sum() > 0 and len(neardup._candidates(posted, 0.6)) == 0
+
+
 # --- 2 --------------------------------------------------------------------------------------
 
 
